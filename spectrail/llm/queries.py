@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, token_files, tokens
+from . import decontaminate, mixing, sharding, simhash, token_files, tokens
 
 QUERIES = {
+    "op1_balanced_shards": sharding.query,
     "op2_source_mix": mixing.query,
+    "op3_simhash_duplicates": simhash.query,
     "op4_token_counts": tokens.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op7_token_files": token_files.query,
