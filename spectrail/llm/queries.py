@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash, token_files, tokens
+from . import decontaminate, mixing, secrets, sharding, simhash, token_files, tokens, winnowing
 
 QUERIES = {
     "op1_balanced_shards": sharding.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_simhash_duplicates": simhash.query,
     "op4_token_counts": tokens.query,
     "op5_benchmark_decontamination": decontaminate.query,
+    "op6_secret_scan": secrets.query,
     "op7_token_files": token_files.query,
+    "op10_winnowing": winnowing.query,
 }
 
 ORACLE_SQL = {
