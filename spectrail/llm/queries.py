@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, sharding, simhash, token_files, tokens, winnowing
+from . import decontaminate, html, mixing, secrets, sharding, simhash, token_files, tokens, toxicity, winnowing
 
 QUERIES = {
     "op1_balanced_shards": sharding.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_secret_scan": secrets.query,
     "op7_token_files": token_files.query,
+    "op8_html_text": html.query,
+    "op9_toxicity": toxicity.query,
     "op10_winnowing": winnowing.query,
 }
 

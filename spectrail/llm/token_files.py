@@ -1,7 +1,8 @@
 """Token ids in flat files.
 
 A data set is a folder with three files for each partition, all little-endian, and nothing else:
-    part-NNNNN.ids   the ids of its documents one after another, unsigned 32-bit integers
+    part-NNNNN.u2    the ids of its documents one after another, unsigned 16-bit integers; .u4 and 32 bits if the
+                     vocabulary has more than 65,536 ids
     part-NNNNN.off   where each document begins in them, then their number, unsigned 64-bit integers
     part-NNNNN.doc   the doc_ids, signed 64-bit integers (the smallest of all stands for null)
 Partitions hold ascending ranges of doc_id and are sorted, so the files in order of their names are one long sequence.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_dir, partitions, range_bucket, range_cuts
-from .tokens import Encoder, slices, tokenizer_path
+from .tokens import Encoder, kept, kind_for, slices, tokenizer_path, vocabulary_size
 
 END_ID = 0
 NULL_DOC = -(2**63)
@@ -39,17 +40,16 @@ def _fs(path: str):
 class _Writer:
     """Writes one partition under names of its own attempt and renames when it is whole, so a retry can't leave a torn file."""
 
-    def __init__(self, folder: str, part: int, attempt: int) -> None:
+    def __init__(self, folder: str, part: int, attempt: int, kind: np.dtype) -> None:
         self.fs, top = _fs(folder)
         self.fs.create_dir(top, recursive=True)
-        self.names = {kind: (f"{top}/.part-{part:05d}.{kind}.{attempt}", f"{top}/part-{part:05d}.{kind}") for kind in ("ids", "off", "doc")}
-        self.ids = self.fs.open_output_stream(self.names["ids"][0])
-        self.off = self.fs.open_output_stream(self.names["off"][0])
-        self.doc = self.fs.open_output_stream(self.names["doc"][0])
+        self.width = kind.itemsize
+        self.names = [(f"{top}/.part-{part:05d}.{end}.{attempt}", f"{top}/part-{part:05d}.{end}") for end in (f"u{self.width}", "off", "doc")]
+        self.ids, self.off, self.doc = (self.fs.open_output_stream(name) for name, _ in self.names)
         self.docs = self.tokens = 0
 
     def add(self, doc_ids: np.ndarray, ids: list[bytes]) -> None:
-        sizes = np.fromiter((len(x) // 4 for x in ids), np.uint64, len(ids))
+        sizes = np.fromiter((len(x) // self.width for x in ids), np.uint64, len(ids))
         starts = np.uint64(self.tokens) + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype("<u8") if len(ids) else sizes
         self.ids.write(b"".join(ids))
         self.off.write(starts.astype("<u8").tobytes())
@@ -61,8 +61,8 @@ class _Writer:
         self.off.write(np.array([self.tokens], "<u8").tobytes())
         for stream in (self.ids, self.off, self.doc):
             stream.close()
-        for kind in ("off", "doc", "ids"):
-            self.fs.move(*self.names[kind])
+        for pair in reversed(self.names):
+            self.fs.move(*pair)
 
 
 def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, end_id: int = END_ID, parts: int | None = None) -> list[tuple[int, int, int]]:
@@ -77,16 +77,16 @@ def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, end_id:
     cuts = range_cuts(rows, "doc_id", parts)
     n = len(cuts) + 1
     rows = rows.withColumn("part", range_bucket("doc_id", cuts)).repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, part = Encoder(path), None, None
+        encoder, writer, part = kept(Encoder, path), None, None
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             if writer is None and batch.num_rows:
                 part = batch.column("part")[0].as_py()
-                writer = _Writer(folder, part, TaskContext.get().taskAttemptId())
+                writer = _Writer(folder, part, TaskContext.get().taskAttemptId(), encoder.kind)
             for some, texts in slices(batch):
                 ids = some.column("doc_id").fill_null(NULL_DOC).to_numpy(zero_copy_only=False)
                 writer.add(ids, [x + end for x in encoder.encode(texts)])
@@ -111,8 +111,9 @@ def _open(name: str):
     return fs.open_input_file(path).readall()
 
 
-def read_ids(spark: SparkSession, folder: str, found: list[tuple[int, int, int]], *, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document of the files, and its ids if asked for."""
+def read_ids(spark: SparkSession, folder: str, found: list[tuple[int, int, int]], *, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of 32-bit ids) of every document of the files, and its ids if asked for."""
+    kind = np.dtype(kind_for(vocabulary_size(path or tokenizer_path())))
     bases, base = [], 0
     for part, _, tokens in found:
         bases.append((part, base))
@@ -122,23 +123,23 @@ def read_ids(spark: SparkSession, folder: str, found: list[tuple[int, int, int]]
         for batch in batches:
             for part, first in zip(*(batch.column(c).to_pylist() for c in ("part", "base")), strict=True):
                 name = f"{folder}/part-{part:05d}"
-                ids, off, doc = (_open(f"{name}.{kind}") for kind in ("ids", "off", "doc"))
-                offsets, docs, view = np.frombuffer(off, "<u8").astype(np.int64), np.frombuffer(doc, "<i8"), memoryview(ids)
+                ids, off, doc = (_open(f"{name}.{end}") for end in (f"u{kind.itemsize}", "off", "doc"))
+                offsets, docs, ids = np.frombuffer(off, "<u8").astype(np.int64), np.frombuffer(doc, "<i8"), np.frombuffer(ids, kind)
                 for at in range(0, len(docs), 5000):
                     cut = offsets[at : at + 5001]
-                    spans = [view[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    spans = [ids[a:b].astype("<u4") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                     which = docs[at : at + 5000]
                     columns = [pa.array(which, mask=which == NULL_DOC), pa.array(cut[:-1] + first), pa.array(np.diff(cut)), pa.array([zlib.crc32(s) for s in spans], pa.int64())]
                     if with_ids:
-                        columns.append(pa.array([np.frombuffer(s, "<u4").astype(np.int64) for s in spans], pa.list_(pa.int64())))
+                        columns.append(pa.array([s.astype(np.int64) for s in spans], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     if not bases:
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], schema)
     # One task a file: the rows are numbered and dealt by that number.
     todo = spark.createDataFrame([(i, *x) for i, x in enumerate(bases)], "n int, part int, base long").repartitionById(len(bases), F.col("n"))
-    return todo.mapInArrow(run, kind)
+    return todo.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ SLICE = 4_000_000
 FIRST = " "
 
 _loaded: dict = {}
+_kept: dict = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,6 +47,10 @@ def _load(path: str):
     return _loaded[path]
 
 
+def vocabulary_size(path: str) -> int:
+    return _load(path)[0].get_vocab_size()
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary, and that byte."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -126,6 +131,14 @@ def _leads(fresh: list[str]) -> tuple[list[int], list[int]]:
     return lead, [i for i, c in enumerate(fresh) if c[:1] != FIRST]
 
 
+def kept(make, *key):
+    """make(*key), once a Python worker: what it has learnt serves the worker's later tasks too. One object at a time."""
+    if (make, key) not in _kept:
+        _kept.clear()
+        _kept[make, key] = make(*key)
+    return _kept[make, key]
+
+
 class Counter:
     """Counts tokens: pre-tokens that are whole tokens directly, the rest by merging them."""
 
@@ -175,12 +188,17 @@ class Counter:
         return [sum(map(known.__getitem__, c)) if c is not None else self._whole_text(t) for t, c in zip(texts, self.chunks.cut(texts), strict=True)]
 
 
+def kind_for(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
 class Encoder:
-    """Gives the token ids of texts as little-endian unsigned 32-bit integers."""
+    """Gives the token ids of texts as little-endian unsigned integers of type `kind`: the smallest that holds the vocabulary."""
 
     def __init__(self, path: str) -> None:
         self.tok, self.special = _load(path)
         letters = byte_letters()
+        self.kind = np.dtype(kind_for(self.tok.get_vocab_size()))
         self.lengths = np.zeros(self.tok.get_vocab_size(), np.int64)
         for text, number in self.tok.get_vocab(with_added_tokens=False).items():
             if all(c in letters for c in text):
@@ -188,7 +206,7 @@ class Encoder:
         self.chunks = _Chunks(self.special, self._learn)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> list[bytes]:
         """Chunks are encoded many at a time; the lengths of the tokens in bytes tell where each chunk's ids end."""
@@ -200,14 +218,14 @@ class Encoder:
             some = rest[at : at + 2000]
             parts = [c if (c := fresh[i])[:1] == "\n" else " " + c for i in some]
             ids = self._ids(["".join(parts)])[0]
-            ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+            ends = np.cumsum(self.lengths[np.frombuffer(ids, self.kind)])
             wanted = np.cumsum([len(p.encode()) for p in parts])
             cuts = np.searchsorted(ends, wanted) + 1
             if not np.array_equal(ends[cuts - 1], wanted):
                 raise ValueError("a token crosses the space between two chunks; this vocabulary can't be used by chunks")
             begin = 0
             for i, end in zip(some, cuts.tolist(), strict=True):
-                out[i] = ids[4 * begin : 4 * end]
+                out[i] = ids[self.kind.itemsize * begin : self.kind.itemsize * end]
                 begin = end
         return out
 
@@ -236,7 +254,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, whole.value)
+        counter = kept(Counter, path, whole.value)
         for batch in batches:
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(counter.count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
