@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxic documents go, of near-duplicates one stays, documents with benchmark passages go, sources are
+mixed to their targets, and what is left is dealt to balanced shards.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read as the next one's docs. All
+but the last return the columns of the documents they got; the last returns doc_id, size, text_crc32, law, shard, slot and
+grown_shard of every row. Null and empty texts are clean, have fingerprint zero, hold no benchmark words and no words to
+mix. Extra columns pass through. Documents without a doc_id can't be told apart where a stage keeps by id: of those in
+groups of near-duplicates one stays at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spectrail.llm import decontaminate, mixing, sharding, simhash, toxicity
+from spectrail.llm.common import materialize, new_dir, small
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier, fitted on the labels of those it may learn from, does not reject."""
+    network = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.classify(docs, network, score="_toxic_score", predicted="_toxic")
+    return scored.where("_toxic = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near-duplicates."""
+    groups = simhash.near_duplicates(docs)
+    gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    kept = docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept.dropDuplicates(["doc_id"]) if ids.take(1) else kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a benchmark passage."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = materialize(found.where("n_hit > 0").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_mark"))
+    return docs.join(small(gone, gone.count()), same, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.mix(docs)
+
+
+def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot in it; copies of a document go to one shard where there is room."""
+    return sharding.digest(sharding.shard(docs.select("doc_id", "text")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", to_shards),
+]
+
+#: The first stage is a trained network, which SQL can't express; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of `sf_dir`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_dir(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -12,6 +12,8 @@ import numpy as np
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 12, 8, 8
 GRAMS, GRAM_SIZES = 1 << 14, (3, 4, 5)
 WINDOW, STRIDE = 32, 24
+#: Part of the words whose own embedding a training step leaves out, and what a step keeps of all embeddings.
+DROP, DECAY = 0.15, 1e-3
 #: Words that a scorer remembers the input of; beyond this it starts anew.
 MEMORY = 300_000
 #: A-Z become a-z; other ASCII but letters, digits and apostrophes becomes a space.
@@ -116,9 +118,13 @@ class Network:
             keep.append((h2, a, w, s))
         return s @ self.p["wo"] + self.p["bo"][0]
 
-    def gradients(self, found: list[bytes], ids: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy and its gradients. ids: (T, N) places in `found`."""
+    def gradients(self, found: list[bytes], ids: np.ndarray, mask: np.ndarray, label: np.ndarray, rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy and its gradients. ids: (T, N) places in `found`. With rng, some words go without their own embedding."""
         x, number, gram, count = self.inputs(found)
+        if rng is not None:
+            gone = rng.random(len(found)) < DROP
+            x[gone, :WORD_DIM] = 0
+            number = np.where(gone, 0, number)
         gates = np.stack([x @ self.p["Wx"][w] + self.p["b"][w] for w in (0, 1)])
         keep: list = []
         logit = self.forward(gates[:, ids], mask, keep)
@@ -172,6 +178,8 @@ class Adam:
         for k, x in p.items():
             self.m[k] += 0.1 * (g[k] - self.m[k])
             self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
+            if k in ("words", "grams"):
+                x *= 1 - DECAY
             x -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-7)
 
 

@@ -167,8 +167,14 @@ def merge_spans(spans):
     return F.aggregate(spans, empty, lambda a, s: F.when((F.size(a) > 0) & (s["start"] <= F.try_element_at(a, F.lit(-1))["end"]), joined(a, s)).otherwise(F.concat(a, F.array(s))))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (start and end in words, end exclusive, merged), items and contaminated of every document.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """`leaks` without the mark, and contaminated (n_hit > 0)."""
+    found = leaks(docs, benchmark, **how)
+    return found.select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text), n_words, n_hit, spans (in words, end exclusive, merged) and items of every document.
 
     docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no words; items without words or id have no
     windows; an item shorter than the window is one window. Repeated rows each give a row. The windows of a block of the
@@ -181,22 +187,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     found = _search(rows, first)
     if second is not None:
         found = materialize(found, "leaks")
-        more = [second, *[]]
-        parts = [found.where("n_hit > 0")]
-        while more:
-            parts.append(materialize(_search(rows, more.pop()).where("n_hit > 0"), "leaks-more"))
-            if (nxt := next(blocks, None)) is not None:
-                more.append(nxt)
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
+        hits = found.where("n_hit > 0")
+        while second is not None:
+            hits = hits.unionByName(materialize(_search(rows, second).where("n_hit > 0"), "leaks-more"))
+            second = next(blocks, None)
         # A text's hits: at most a row for each block and copy of the row.
         hits = hits.dropDuplicates(["doc_id", "mark", "spans", "items"]).groupBy("doc_id", "mark").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         hits = hits.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), merge_spans(F.col("spans")).alias("s"), F.col("items").alias("i"))
         found = found.select("doc_id", "mark", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
         found = found.select("doc_id", "mark", "n_words", F.coalesce("s", F.array().cast(SPANS)).alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
         found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
-    return found.select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "mark", "n_words", "n_hit", "spans", "items")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,16 +15,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bigru import GRAMS, WINDOW, Adam, Network, Scorer, grams, starts, words
 from .common import small
 from .tokens import slices
 
 #: The classifier is fitted on at most so many toxic and so many clean documents, chosen by a hash of doc_id.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1200
+TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 2400
 #: Of a sampled document, training looks at windows of at most so many words, from its whole length.
 SAMPLE_WORDS = 20_000
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Training takes `STEPS` batches, dealt over at least EPOCHS epochs.
+STEPS, EPOCHS, BATCH, RATE = 600, 8, 64, 0.01
+#: Windows that a toxic document gives at most, if they count at least half as much as its best one.
+TOP = 4
 THRESHOLD = 0.7
 
 
@@ -41,19 +45,31 @@ def _windows(text: str) -> list[list[bytes]]:
     return [w[i : i + WINDOW] for i in at]
 
 
-def _first_guess(docs: list[list[list[bytes]]], labels: np.ndarray) -> list[int]:
-    """The window of each toxic document that holds the n-gram most telling of toxic documents."""
+def _tell(docs: list[list[list[bytes]]], labels: np.ndarray) -> np.ndarray:
+    """A first score of every window: how telling of toxic documents its most telling n-gram is."""
     seen = np.zeros((2, GRAMS))
     for windows, label in zip(docs, labels, strict=True):
-        number = grams(sorted({x for w in windows for x in w}))[0]
-        seen[int(label), np.unique(number)] += 1
+        seen[int(label), np.unique(grams(sorted({x for w in windows for x in w}))[0])] += 1
     n = np.maximum(1, np.bincount(labels.astype(int), minlength=2))
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    weight = odds * np.sqrt(seen[1])
-    return [int(np.argmax([weight[grams(w)[0]].max() for w in windows])) if label else 0 for windows, label in zip(docs, labels, strict=True)]
+    odds = np.log((seen[1] + 0.1) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    weight = np.maximum(odds, 0) * np.sqrt(seen[1])
+    return np.array([weight[g].max() if len(g := grams(w)[0]) else 0.0 for windows in docs for w in windows])
 
 
-def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Network | None:
+def _choose(score: np.ndarray, least: float, first: np.ndarray, label: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int]]:
+    """(document, window) of an epoch: the best windows of toxic documents, the two most like toxic and a random one of clean ones."""
+    out = []
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        own = score[a:b]
+        if label[i]:
+            top = np.argsort(-own, kind="stable")[:TOP]
+            out += [(i, int(j)) for j in top if j == top[0] or own[j] >= least * own[top[0]]]
+        else:
+            out += [(i, int(j)) for j in np.argsort(-own, kind="stable")[:2]] + [(i, int(rng.integers(b - a)))]
+    return out
+
+
+def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Network | None:
     """A network fitted to the texts; None unless both labels occur among those with words."""
     kept = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := _windows(t))]
     if len({y for _, y in kept}) < 2:
@@ -66,26 +82,31 @@ def train(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, rate: fl
     adam = Adam(net.p, rate)
     flat = [" ".join(x.decode() for x in w) for d in docs for w in d]
     first = np.cumsum([0, *[len(d) for d in docs]])
-    chosen = _first_guess(docs, label)
-    for epoch in range(epochs):
-        if epoch > 1:
-            logit = _logits(net, flat)
-            chosen = [int(np.argmax(logit[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
-        todo = [(i, chosen[i]) for i in range(len(docs))] + [(i, int(rng.integers(len(docs[i])))) for i in range(len(docs)) if not label[i] for _ in range(2)]
-        if epoch == 0:
-            adam.rate = rate
-        elif epoch >= epochs - 2:
-            adam.rate = rate / 4
+    score, epoch, done = _tell(docs, label), 0, 0
+    steps = max(steps, EPOCHS)
+    while done < steps:
+        if epoch:
+            score = 1 / (1 + np.exp(-_logits(net, flat)))
+        todo = _choose(score, 0.5, first, label, rng)
+        # Toxic windows repeat until they are a seventh; an epoch has its share of the steps.
+        toxic = [x for x in todo if label[x[0]]]
+        todo += toxic * max(0, int((len(todo) - len(toxic)) / 6 / len(toxic)) - 1)
+        todo *= max(1, steps * BATCH // (len(todo) * EPOCHS))
+        rng.shuffle(todo)
+        todo = todo[: max(BATCH, steps * BATCH // EPOCHS)]
+        epoch += 1
         order = rng.permutation(len(todo))
         for at in range(0, len(order), BATCH):
             some = [todo[i] for i in order[at : at + BATCH]]
+            adam.rate = rate if done < 0.7 * steps else rate / 4
+            done += 1
             picked = [docs[i][j] for i, j in some]
             found = sorted({x for w in picked for x in w})
             place = {x: i for i, x in enumerate(found)}
             ids, mask = np.zeros((WINDOW, len(some)), np.int64), np.zeros((WINDOW, len(some)), bool)
             for n, w in enumerate(picked):
                 ids[: len(w), n], mask[: len(w), n] = [place[x] for x in w], True
-            adam.apply(net.p, net.gradients(found, ids, mask, label[[i for i, _ in some]])[1])
+            adam.apply(net.p, net.gradients(found, ids, mask, label[[i for i, _ in some]], rng)[1])
     logit = _logits(net, flat)
     best = np.array([logit[a:b].max() for a, b in zip(first[:-1], first[1:], strict=True)])
     net.scale, net.shift = _calibrate(best, label)
@@ -100,13 +121,11 @@ def _logits(net: Network, flat: list[str]) -> np.ndarray:
 
 
 def _calibrate(best: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic fit, both classes of equal weight, held back by a penalty on the scale."""
-    weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
+    """Scale and shift of a logistic fit, held back by a penalty on the scale."""
     mid = (best[label == 1].mean() + best[label == 0].mean()) / 2
     x, a, b = best - mid, 1.0, 0.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
-        g = weight * (p - label)
+    for _ in range(400):
+        g = (1 / (1 + np.exp(-np.clip(a * x + b, -50, 50))) - label) / len(label)
         a, b = max(0.05, a - 0.5 * ((g * x).sum() + 0.01 * (a - 1))), b - 0.5 * g.sum()
     return float(a), float(b - a * mid)
 
@@ -121,24 +140,25 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     return [r.text for r in rows], [r.toxic for r in rows]
 
 
-def classify(docs: DataFrame, network: Network | None) -> DataFrame:
-    """`docs` with score and predicted (1 from THRESHOLD on). Null and empty texts score 0; without a network all do."""
+def classify(docs: DataFrame, network: Network | None, *, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """`docs` with score and predicted (1 from THRESHOLD on), which replace columns of those names.
+
+    Null and empty texts score 0; without a network all do. Repeated rows each give a row. No shuffle.
+    """
+    rest = [f for f in docs.schema.fields if f.name not in (score, predicted)]
+    names = [f.name for f in rest]
     if network is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+        return docs.select(*names, F.lit(0.0).alias(score), F.lit(0).alias(predicted))
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    rest = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts), pa.float64())], [*names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts), pa.float64())], [*names, score])
 
-    out = docs.select(*names).mapInArrow(run, StructType([*rest, StructField("score", DoubleType())]))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = docs.select(*names).mapInArrow(run, StructType([*rest, StructField(score, DoubleType())]))
+    return out.withColumn(predicted, (F.col(score) >= THRESHOLD).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
