@@ -9,6 +9,7 @@ other white space, several in a row, white space at an end, or the string of a s
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Chunks that a Python worker remembers; beyond this it forgets all but the short ones.
-MEMORY = 700_000
+MEMORY = 1_000_000
 #: Texts of about this many characters are handled at a time.
 SLICE = 4_000_000
 
 #: Leads the first chunk of a text, the only one without a space before it; no other chunk holds a space.
 FIRST = " "
 
+SPACE = re.compile(r"\s")
+
 _loaded: dict = {}
 _kept: dict = {}
 
@@ -77,7 +80,7 @@ def whole_tokens(path: str) -> frozenset[str]:
 def _clean(chunk: str, special: tuple[str, ...]) -> bool:
     """Whether the chunk (a newline, or the mark of a first chunk, may lead it) is free of white space and special strings."""
     body = chunk[1:] if chunk[:1] in ("\n", FIRST) else chunk
-    return bool(body) and not any(c.isspace() for c in body) and not any(s in chunk for s in special)
+    return bool(body) and SPACE.search(body) is None and not any(s in chunk for s in special)
 
 
 class _Chunks:
@@ -88,36 +91,40 @@ class _Chunks:
         self.known: dict = {}
         self.odd: set[str] = set()
 
-    def cut(self, texts: list[str]) -> list[list[str] | None]:
-        """Each text's chunks, all of them known now; None for a text that must be handled whole.
+    def values(self, texts: list[str]) -> list[list | None]:
+        """The values of each text's chunks, in order; None for a text that must be handled whole.
 
         The texts' own chunks hold no space; a text that begins with a newline has an empty first chunk.
         """
-        out: list[list[str] | None] = []
-        new: set[str] = set()
         if len(self.known) > MEMORY:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= 5}
+            self.known = {k: v for k, v in self.known.items() if len(k) <= 8}
         if len(self.odd) > MEMORY:
             self.odd = set()
+        get, out = self.known.get, []
+        open_: list[tuple[list[str], list, list[int]]] = []
+        new: set[str] = set()
         for text in texts:
             chunks = (" " + text).replace("\n", " \n").split(" ")[1:] if text else []
             if chunks and chunks[0]:
                 chunks[0] = FIRST + chunks[0]
-            out.append(chunks)
-            new.update(chunks)
-        new.difference_update(self.known)
+            found = list(map(get, chunks))
+            out.append(found)
+            if None in found:
+                at = [i for i, v in enumerate(found) if v is None]
+                open_.append((chunks, found, at))
+                new.update([chunks[i] for i in at])
         fresh = []
         for c in new:
-            if c in self.odd or not _clean(c, self.special):
-                self.odd.add(c)
-            else:
-                fresh.append(c)
-        for c, value in zip(fresh, self.learn(fresh), strict=True):
-            self.known[c] = value
-        if not self.odd.isdisjoint(new):
-            odd = self.odd
-            out = [c if c is not None and odd.isdisjoint(c) else None for c in out]
-        return out
+            if c not in self.odd:
+                if _clean(c, self.special):
+                    fresh.append(c)
+                else:
+                    self.odd.add(c)
+        self.known.update(zip(fresh, self.learn(fresh), strict=True))
+        for chunks, found, at in open_:
+            for i in at:
+                found[i] = get(chunks[i])
+        return [None if None in found else found for found in out]
 
 
 def _joined(chunks: list[str]) -> tuple[str, np.ndarray]:
@@ -184,8 +191,7 @@ class Counter:
         return n + sum(self._plain(p) for p in parts)
 
     def count(self, texts: list[str]) -> list[int]:
-        known = self.chunks.known
-        return [sum(map(known.__getitem__, c)) if c is not None else self._whole_text(t) for t, c in zip(texts, self.chunks.cut(texts), strict=True)]
+        return [sum(v) if v is not None else self._whole_text(t) for t, v in zip(texts, self.chunks.values(texts), strict=True)]
 
 
 def kind_for(ids: int) -> str:
@@ -230,8 +236,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.chunks.known
-        return [b"".join(map(known.__getitem__, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, self.chunks.cut(texts), strict=True)]
+        return [b"".join(v) if v is not None else self._ids([t])[0] for t, v in zip(texts, self.chunks.values(texts), strict=True)]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
