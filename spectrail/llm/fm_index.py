@@ -20,7 +20,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key, width = rank + 1, 1
     while (width + 1) * bits <= 62:
         nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = rank[width:] + 1
+        nxt[: max(0, n - width)] = rank[width:] + 1
         key, width = (key << bits) | nxt, width + 1
     while True:
         order = np.argsort(key, kind="stable")

@@ -20,6 +20,8 @@ ROUNDS = 6
 SALT = 64
 #: Hash buckets by which moves are admitted.
 ADMIT = 1024
+#: A group is large beyond this part of what a shard holds.
+LARGE = 4
 #: Documents that are put into order together when slots are given.
 CELL = 5000
 
@@ -48,22 +50,26 @@ def propagate(atoms: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         moves = atoms.join(ranked, "hub")
         pick = F.get("wanted", F.pmod(F.xxhash64("hub", "first", "salt", F.lit(turn)), F.size("wanted")).cast("int"))
         moves = moves.withColumn("to", F.when(F.array_contains("wanted", F.col("shard")), F.col("shard")).otherwise(pick)).drop("wanted")
-        moves = moves.withColumn("bucket", F.pmod(F.xxhash64("hub", F.when(F.col("total") > mean // 4, F.col("salt")), F.lit(turn)), F.lit(ADMIT)).cast("int"))
-        moves = materialize(moves, "moves")
-        seen = moves.groupBy((F.col("shard") == F.col("to")).alias("stay"), "to", F.when(F.col("shard") == F.col("to"), 0).otherwise(F.col("bucket")).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+        large = F.col("total") > mean // LARGE
+        moves = moves.withColumn("bucket", F.pmod(F.xxhash64("hub", F.when(large, F.col("salt")), F.lit(turn)), F.lit(ADMIT)).cast("int"))
+        moves = materialize(moves.withColumn("large", large), "moves")
+        stay = F.col("shard") == F.col("to")
+        seen = moves.groupBy("large", stay.alias("stay"), "to", F.when(stay, 0).otherwise(F.col("bucket")).alias("bucket")).agg(F.sum("n").alias("n")).collect()
         if all(r.stay for r in seen):
             return atoms
-        room = [q - sum(r.n for r in seen if r.stay and r.to == s) for s, q in enumerate(quotas)]
-        admitted = [0] * shards
-        for s in range(shards):
-            for r in sorted((r for r in seen if not r.stay and r.to == s), key=lambda r: r.bucket):
-                if r.n > room[s]:
-                    break
-                room[s] -= r.n
-                admitted[s] = r.bucket + 1
-        go = F.col("bucket") < _literal(admitted, F.col("to"))
-        atoms = moves.withColumn("shard", F.when(go, F.col("to")).otherwise(F.col("shard"))).drop("to", "bucket")
-        if not any(admitted):
+        # Large groups come first: small ones give way to them as a whole when the counts are evened out.
+        room, admitted = list(quotas), {True: [0] * shards, False: [0] * shards}
+        for big in (True, False):
+            for s in range(shards):
+                room[s] -= sum(r.n for r in seen if r.large == big and r.stay and r.to == s)
+                for r in sorted((r for r in seen if r.large == big and not r.stay and r.to == s), key=lambda r: r.bucket):
+                    if r.n > room[s]:
+                        break
+                    room[s] -= r.n
+                    admitted[big][s] = r.bucket + 1
+        go = F.col("bucket") < F.when(F.col("large"), _literal(admitted[True], F.col("to"))).otherwise(_literal(admitted[False], F.col("to")))
+        atoms = moves.withColumn("shard", F.when(go, F.col("to")).otherwise(F.col("shard"))).drop("to", "bucket", "large")
+        if not any(admitted[True]) and not any(admitted[False]):
             break
     return atoms
 
@@ -88,15 +94,17 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     atoms = propagate(atoms, quotas, rounds)
     moved = atoms.select("hub", "first", "salt", "total", F.col("shard").alias("_shard"))
     at = [rows["_hub"] == moved["hub"], rows["_first"] == moved["first"], rows["_salt"] == moved["salt"]]
-    placed = rows.join(moved, at, "left").withColumn("_shard", F.coalesce("_shard", "_first")).withColumn("_single", F.col("total").isNull())
+    placed = rows.join(moved, at, "left").withColumn("_shard", F.coalesce("_shard", "_first"))
+    large = max(1, count // shards) // LARGE
+    placed = placed.withColumn("_class", F.when(F.col("total").isNull(), 2).when(F.col("total") > large, 0).otherwise(1))
     cells = max(1, count // CELL)
     # Groups stay together in the order; a large one is dealt over the cells.
     which = F.when(F.coalesce("total", F.lit(0)).between(2, CELL), F.col("_hub")).otherwise(F.xxhash64("_h", F.lit(1)))
     placed = placed.withColumn("_cell", F.pmod(which, F.lit(cells)).cast("int")).drop("hub", "first", "salt", "total")
     placed = materialize(placed, "placed")
-    sizes = placed.groupBy("_shard", "_single", "_cell").agg(F.count("*").alias("n"))
-    # A row for each shard and cell, the unlinked last: those are the first to go where there is room.
-    upto = Window.partitionBy("_shard").orderBy("_single", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_shard", "_class", "_cell").agg(F.count("*").alias("n"))
+    # A row for each shard and cell, large groups first, the unlinked last: the last go where there is room.
+    upto = Window.partitionBy("_shard").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_base", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     sizes = materialize(sizes, "cells")
     held = {r._shard: r.n for r in sizes.groupBy("_shard").agg(F.sum("n").alias("n")).collect()}
@@ -104,8 +112,8 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     under = [max(0, quotas[s] - held.get(s, 0)) for s in range(shards)]
     over_base = [sum(over[:s]) for s in range(shards)]
     under_base = [sum(under[:s]) for s in range(shards)]
-    ranked = placed.join(sizes.drop("n"), ["_shard", "_single", "_cell"])
-    inside = Window.partitionBy("_shard", "_single", "_cell").orderBy("_hub", "_h")
+    ranked = placed.join(sizes.drop("n"), ["_shard", "_class", "_cell"])
+    inside = Window.partitionBy("_shard", "_class", "_cell").orderBy("_hub", "_h")
     ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(inside) - 1)
     surplus = F.col("_rank") - _literal(quotas, F.col("_shard"))
     number = F.when(surplus >= 0, surplus + _literal(over_base, F.col("_shard")))
