@@ -298,6 +298,24 @@ class Handle:
     def lengths(self) -> DataFrame:
         return self._columns(["mz"], ["ord_", "spectrum_id_"]).select("ord_", "spectrum_id_", pk.count().alias("n_peaks")).orderBy("ord_").drop("ord_")
 
+    def contains_mz(self, mz: Sequence[float] | float, tolerance=0.0, ppm=20.0) -> DataFrame:
+        """Whether each spectrum has a peak in some window."""
+        mz = [mz] if isinstance(mz, (int, float)) else list(mz)
+        ranges = pr.windows(mz, ppm, tolerance)
+        if self.data.kind == "native":
+            rows = self.frame.select("ord_", "spectrum_id_", pk.holds("mz", ranges).alias("contains"))
+        else:
+            hits = self.data.points().where(pr.either([pr.in_range(F.col("mz"), a, b) for a, b in ranges])).select("spectrum_id_", F.lit(True).alias("_hit")).distinct()
+            rows = self.frame.select("ord_", "spectrum_id_").join(hits, "spectrum_id_", "left").select("ord_", "spectrum_id_", F.col("_hit").isNotNull().alias("contains"))
+        return rows.orderBy("ord_").drop("ord_")
+
+    def split(self, name: str) -> dict:
+        """A handle for each value of a variable of few values (a null is one), in order of the values."""
+        values = [r[0] for r in self.frame.select(name).distinct().orderBy(name).limit(10_001).collect()]
+        if len(values) > 10_000:
+            raise SemanticError(f"{name} has more than 10,000 values", column=name)
+        return {v: self._with(self.frame.where(F.col(name).eqNullSafe(F.lit(v)))) for v in values}
+
     def unique_ms_levels(self) -> list[int]:
         return [r[0] for r in self.frame.select("msLevel").where("msLevel IS NOT NULL").distinct().orderBy("msLevel").collect()]
 

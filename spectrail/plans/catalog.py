@@ -11,6 +11,7 @@ from spectrail.operators.handle import Handle
 from spectrail.operators.ingest import first_and_count
 from spectrail.operators.writer import cut_runs
 from spectrail.sources.dataset import union_by_name
+from spectrail.sources.runs import run_column
 
 from . import tables
 from .tables import SQL
@@ -198,6 +199,20 @@ def run_blocks(spark, sf_dir):
     return tables.metadata(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.min("spectrum_id_").alias("first"), F.max("spectrum_id_").alias("last"))
 
 
+@_query("""SELECT event_id, run_id FROM events LEFT JOIN (SELECT run_id, min(spectrum_id_) AS a, max(spectrum_id_) AS b FROM spectra GROUP BY run_id)
+ON event_id * 2 BETWEEN a AND b""")
+def run_of_ids(spark, sf_dir):
+    """The run whose block of ids holds each id."""
+    blocks = [(r.run_id, r["first"], r.n) for r in run_blocks(spark, sf_dir).collect()]
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", run_column(blocks, F.col("event_id") * 2).alias("run_id"))
+
+
+@_query("""SELECT spectrum_id_, coalesce(hit, false) AS contains FROM spectra
+LEFT JOIN (SELECT DISTINCT spectrum_id_, true AS hit FROM points WHERE mz BETWEEN 99 AND 101) USING (spectrum_id_)""")
+def contains_mz_flag(spark, sf_dir):
+    return _points(spark, sf_dir).contains_mz(100, tolerance=1, ppm=0)
+
+
 @_query("SELECT run_id, count(*) AS n FROM spectra GROUP BY run_id")
 def run_cutting(spark, sf_dir):
     """Runs from stretches of equal origin."""

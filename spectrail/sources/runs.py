@@ -75,3 +75,16 @@ def id_ranges(manifest: dict, run_ids: set[str]) -> list[tuple[int, int]]:
             else:
                 out.append((a, b))
     return out
+
+
+def run_column(blocks: list[tuple[str, int, int]], spectrum_id):
+    """The run of an id column, null outside all blocks. blocks: (run id, first id, number), few enough for the driver."""
+    from pyspark.sql import functions as F
+
+    blocks = sorted(blocks, key=lambda b: b[1])
+    if not blocks:
+        return F.lit(None).cast("string")
+    begins = F.array(*[F.lit(b).cast("long") for _, b, _ in blocks])
+    at = F.size(F.filter(begins, lambda b: b <= spectrum_id)) - 1
+    end = F.get(F.array(*[F.lit(b + n).cast("long") for _, b, n in blocks]), at)
+    return F.when(spectrum_id < end, F.get(F.array(*[F.lit(r) for r, _, _ in blocks]), at))

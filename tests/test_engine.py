@@ -220,6 +220,9 @@ def test_accessors(big, tmp_path):
     assert [tuple(r) for r in new.spectra_data("spectrum_id_", "rtime", "totIonCurrent").collect()] == [(1, 5.0, 2.0), (2, 6.0, 1.0)]
     assert ids(pickle.loads(pickle.dumps(big.spectra().filter_rt(10, 11).take([1, 0])))) == [21, 20]
     assert "native" in repr(h)
+    assert [r.contains for r in h.contains_mz(102, ppm=1).collect()] == [False, True]
+    parts = big.spectra().take(range(4)).split("msLevel")
+    assert {k: ids(v) for k, v in parts.items()} == {1: [1, 3], 2: [2, 4]}
 
 
 def test_samples(spark, tmp_path):
@@ -257,6 +260,7 @@ def test_ingest(pair):
     assert tuple(rows[1]) == (2, "QC01", 2, pytest.approx(2.0), 0, True, 501.0, 2, 500.5, "f1-2", 51.0, 2, 1, 2)
     assert rows[0].precursorMz is None and rows[0].n_precursors is None and rows[6].rtime == pytest.approx(1.0)
     assert [[p.mz for p in r.peaks] for r in h.take([1, 7]).peaks_data().collect()] == [[201.0, 202.0, 203.0, 204.0], [10201.0, 10202.0, 10203.0, 10204.0]]
+    assert [r.contains for r in h.take([7, 0]).contains_mz([203, 10203], ppm=1).collect()] == [True, False]
     assert h.peak_variables() == ["mz", "intensity"] and [r.ionCount for r in h.take([0]).ion_count().collect()] == [50.0]
     assert json.load(open(os.path.join(pair.path, "index", "column_map.json")))[0]["accession"] == "MS:1000511"
     assert [r["source"].endswith("mzpeak") for r in mf.run_table(pair.path)] == [True, True]
