@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.errors import FormatError, SemanticError, UnsupportedError
+from spectrail.ship import ship
 
 #: File names that are taken for spectra; those of the second group need readers that are not here.
 READ, UNREAD = ("mzml", "mzml.gz"), ("mzxml", "mzxml.gz", "cdf", "nc")
@@ -195,6 +196,7 @@ def read_mzml(spark: SparkSession, files: Sequence[str], batch: int = BATCH) ->
     from pyspark.sql.pandas.types import to_arrow_schema
 
     check_files(files)
+    ship(spark)
     empty = spark.createDataFrame([], SCHEMA)
     if not files:
         return empty
