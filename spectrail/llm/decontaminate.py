@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrail.ship import ship
+
 from .common import materialize
 from .fm_index import FmIndex
 from .tokens import slices
@@ -133,6 +135,7 @@ RESULT = f"doc_id long, mark long, n_words long, n_hit long, spans {SPANS}, item
 
 
 def _search(rows: DataFrame, windows: Windows) -> DataFrame:
+    ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(windows)
     kind = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrail.ship import ship
+
 from .html_tree import main_text
 from .tokens import slices
 
@@ -21,6 +23,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(p) for p in pages]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    ship(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrail.ship import ship
+
 from .common import materialize, partitions, small
 from .components import components
 from .gray_index import gray_rank, linked
@@ -60,6 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print long")
 
 
@@ -77,6 +80,7 @@ def _signed(x: int) -> int:
 def links(prints: DataFrame, n: int, most: int = MOST, node: int = NODE) -> DataFrame:
     """(child, parent) edges that join the `n` different fingerprints of column print into their groups."""
     spark = prints.sparkSession
+    ship(spark)
     chosen = next((i + 1 for i, top in enumerate(STEPS) if n <= top), 4)
     under = [F.struct(F.lit(i).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks(most, chosen))]
     dealt = prints.select("print", F.explode(F.array(*under)).alias("node")).select("node.*", "print")

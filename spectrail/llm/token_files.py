@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrail.ship import ship
+
 from .common import new_dir, partitions, range_bucket, range_cuts
 from .tokens import Encoder, kept, kind_for, slices, tokenizer_path, vocabulary_size
 
@@ -73,6 +75,7 @@ def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, end_id:
     """
     path = path or tokenizer_path()
     parts = parts or partitions(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     cuts = range_cuts(rows, "doc_id", parts)
     n = len(cuts) + 1
@@ -114,6 +117,7 @@ def _open(name: str):
 def read_ids(spark: SparkSession, folder: str, found: list[tuple[int, int, int]], *, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of 32-bit ids) of every document of the files, and its ids if asked for."""
     kind = np.dtype(kind_for(vocabulary_size(path or tokenizer_path())))
+    ship(spark)
     bases, base = [], 0
     for part, _, tokens in found:
         bases.append((part, base))

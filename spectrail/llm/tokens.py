@@ -14,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrail.ship import ship
+
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Chunks that a Python worker remembers; beyond this it forgets all but the short ones.
 MEMORY = 1_000_000
-#: Texts of about this many characters are handled at a time.
+#: Texts of about this many bytes are handled at a time.
 SLICE = 4_000_000
 
 #: Leads the first chunk of a text, the only one without a space before it; no other chunk holds a space.
@@ -240,14 +243,15 @@ class Encoder:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch in runs of about `size` characters of text, with the texts (null: empty)."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    begin = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size or i == len(texts) - 1:
-            yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-            begin, held = i + 1, 0
+    """The batch in runs of about `size` bytes of text, with the texts (null: empty); only a run's texts become Python's."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(held):
+        used = held[begin - 1] if begin else 0
+        end = min(len(held), int(np.searchsorted(held, used + size)) + 1)
+        part = batch.slice(begin, end - begin)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        begin = end
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -256,6 +260,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     Null and empty texts have no bytes and no tokens. Repeated rows each give a row. No shuffle.
     """
     path = path or tokenizer_path()
+    ship(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

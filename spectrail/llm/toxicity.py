@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from spectrail.ship import ship
+
 from .bigru import GRAMS, WINDOW, Adam, Network, Scorer, grams, starts, words
 from .common import small
 from .tokens import slices
@@ -30,6 +32,8 @@ STEPS, EPOCHS, BATCH, RATE = 600, 8, 64, 0.01
 #: Windows that a toxic document gives at most, if they count at least half as much as its best one.
 TOP = 4
 THRESHOLD = 0.7
+#: Bytes of text that are scored at a time.
+SLICE = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -149,12 +153,13 @@ def classify(docs: DataFrame, network: Network | None, *, score: str = "score",
     names = [f.name for f in rest]
     if network is None:
         return docs.select(*names, F.lit(0.0).alias(score), F.lit(0).alias(predicted))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, size=SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts), pa.float64())], [*names, score])
 
     out = docs.select(*names).mapInArrow(run, StructType([*rest, StructField(score, DoubleType())]))
