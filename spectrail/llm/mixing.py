@@ -3,8 +3,8 @@
 Every source gets a target of words; its documents are repeated floor(rate) times, and one more copy goes to the
 documents whose hash-seeded draw is below the fraction of the rate. Independent draws miss a small or heavy-tailed
 source's target by many per cent (README), so the bound on the draw is moved from the fraction to the place where the
-drawn documents' words come nearest to the words still missing: the draws stay hash-seeded and a document's chance
-stays the fraction.
+drawn documents' words reach the words still missing, and the gap that is left goes to one more document of a fitting
+size: the draws stay hash-seeded and a document's chance stays the fraction.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ def mixture(docs: DataFrame, *, share: float = SHARE, weights: tuple[int, ...] =
     """(sized, plan, number of sources) for documents with doc_id, source and text.
 
     sized: doc_id, source, size, draw of every document. plan: a row for each source with source, source_size, target,
-    whole (copies that all its documents get) and bound (draws at or below it get one more; null: none).
+    whole (copies that all its documents get), bound (draws at or below it get one more; null: none) and more (the one
+    draw above it that does as well; null: none).
     Sources by code point, null last, weigh `weights` in turn and share `share` of all words; a target stops at `cap`
     times its source's words, and the excess goes to the others by weight until none is above. A source without words
     has target 0. Rows that repeat a doc_id and size share one draw. Null texts have no words. An empty table has
@@ -81,10 +82,22 @@ def mixture(docs: DataFrame, *, share: float = SHARE, weights: tuple[int, ...] =
     near = near.groupBy("source", "draw", "base", "missing").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("start", F.col("base") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    taken = near.where(F.col("start") + F.col("words") / F.lit(2.0) <= F.col("missing")).groupBy("source").agg(F.max("draw").alias("inside"))
-    bounds = last.join(taken.select(F.col("source").alias("t"), "inside"), F.col("s").eqNullSafe(F.col("t")), "left")
-    bounds = bounds.select("s", F.coalesce("inside", F.shiftleft(F.col("bucket").cast("long"), 60 - BUCKET_BITS) - 1).alias("bound"))
-    plan = sources.join(small(bounds, n), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "bound")
+    taken = near.where(F.col("start") + F.col("words") <= F.col("missing")).groupBy("source").agg(F.max(F.struct("draw", (F.col("start") + F.col("words")).alias("upto"))).alias("in"))
+    bounds = last.join(taken.select(F.col("source").alias("t"), "in"), F.col("s").eqNullSafe(F.col("t")), "left")
+    bounds = bounds.select(
+        "s",
+        F.coalesce(F.col("in")["draw"], F.shiftleft(F.col("bucket").cast("long"), 60 - BUCKET_BITS) - 1).alias("bound"),
+        (F.col("missing") - F.coalesce(F.col("in")["upto"], F.col("base"))).alias("left"),
+    )
+    bounds = materialize(bounds, "mix-bounds")
+    # One more document of each source may close the gap: the one of the fitting size, if that comes nearer.
+    beyond = sized.join(small(bounds, n), F.col("source").eqNullSafe(F.col("s"))).where(F.col("draw") > F.col("bound"))
+    nearest = beyond.groupBy(F.col("s")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "draw", "left")).alias("m")).select("s", "m.draw", "m.left")
+    nearest = materialize(nearest.withColumnsRenamed({"draw": "more", "left": "gap"}), "mix-nearest")
+    whole = sized.join(small(nearest, n), F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("more"))).groupBy("s", "more", "gap").agg(F.sum("size").alias("words"))
+    whole = whole.where(F.abs(F.col("words") - F.col("gap")) < F.col("gap")).select(F.col("s").alias("e"), "more")
+    bounds = bounds.join(small(whole, n), F.col("s").eqNullSafe(F.col("e")), "left").select("s", "bound", "more")
+    plan = sources.join(small(bounds, n), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "bound", "more")
     return sized, materialize(plan, "mix-plan"), n
 
 
@@ -92,8 +105,8 @@ def with_copies(sized: DataFrame, plan: DataFrame, n: int) -> DataFrame:
     """`sized` rows with source_size, target and copies, the number of times the mix takes the document."""
     plan = plan.withColumnRenamed("source", "plan_source")
     out = sized.join(small(plan, n), F.col("source").eqNullSafe(F.col("plan_source")))
-    extra = F.coalesce((F.col("draw") <= F.col("bound")).cast("int"), F.lit(0))
-    return out.withColumn("copies", F.col("whole") + extra).drop("plan_source", "whole", "bound")
+    extra = F.coalesce((F.col("draw") <= F.col("bound")) | F.col("draw").eqNullSafe(F.col("more")), F.lit(False)).cast("int")
+    return out.withColumn("copies", F.col("whole") + extra).drop("plan_source", "whole", "bound", "more")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -141,10 +154,15 @@ units AS (
   SELECT source, draw, sum(size)::BIGINT AS w FROM drawn GROUP BY source, draw),
 starts AS (
   SELECT *, coalesce(sum(w) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM units),
+missing AS (SELECT source AS s, target - whole * source_size AS missing FROM plans),
 bounds AS (
-  SELECT p.source AS s, max(draw) AS bound FROM starts u JOIN plans p ON u.source IS NOT DISTINCT FROM p.source
-  WHERE target - whole * source_size > 0 AND start + w / 2.0::DOUBLE <= target - whole * source_size GROUP BY p.source)
+  SELECT s, missing, max(CASE WHEN start + w <= missing THEN draw END) AS bound, missing - coalesce(max(CASE WHEN start + w <= missing THEN start + w END), 0) AS gap
+  FROM starts u JOIN missing ON u.source IS NOT DISTINCT FROM s WHERE missing > 0 GROUP BY s, missing),
+nearest AS (
+  SELECT s, gap, arg_min(draw, (abs(size - gap), draw)) AS more FROM drawn JOIN bounds ON source IS NOT DISTINCT FROM s WHERE draw > coalesce(bound, -1) GROUP BY s, gap),
+chosen AS (SELECT n.s AS e, more FROM nearest n JOIN units u ON u.source IS NOT DISTINCT FROM n.s AND u.draw = more WHERE abs(w - gap) < gap)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-  (d.size * (p.whole + CASE WHEN d.draw <= b.bound THEN 1 ELSE 0 END))::BIGINT AS taken
+  (d.size * (p.whole + CASE WHEN d.draw <= b.bound OR d.draw = c.more THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM drawn d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN bounds b ON p.source IS NOT DISTINCT FROM b.s
+LEFT JOIN chosen c ON p.source IS NOT DISTINCT FROM c.e
 """
