@@ -67,8 +67,9 @@ def shown(prints: Column) -> Column:
     return F.array_join(F.zip_with(prints["hash"], prints["pos"], lambda h, p: F.concat(F.lower(F.right(F.lpad(F.hex(h), 8, "0"), F.lit(8))), F.lit("@"), p.cast("string"))), " ")
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Each row with next: the carried columns of the row with the next smaller key (null last); the last row has the first's.
+def with_next(rows: DataFrame, key: str, carried: list[str], derived: dict[str, Column]) -> DataFrame:
+    """Each row with next_<c> of the carried columns: those of the row with the next smaller key (null last; the last row has
+    the first's). The derived columns are computed behind the shuffle, so they add nothing to it, and get a next_<c> as well.
 
     Keys are dealt by ranges; the first row of each range is also put behind the range before it. Rows that repeat a key
     follow by a hash of what is carried.
@@ -80,7 +81,7 @@ def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
     heads = rows.groupBy("_range").agg(F.max(key).alias("_key"))
     used = sorted((r["_range"], r["_key"]) for r in heads.collect())  # one number a range
     if not used:
-        return rows.withColumn("next", F.struct(*carried)).drop("_range")
+        used = [(0, None)]
     before = {r: used[i - 1][0] for i, (r, _) in enumerate(used)}
     first = [F.struct(F.lit(r).alias("_range"), F.lit(before[r]).alias("_to")) for r, _ in used]
     to = F.map_from_entries(F.array(*[F.struct(s["_range"], s["_to"]) for s in first]))
@@ -90,7 +91,8 @@ def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
     guards = guards.withColumn("_range", F.element_at(to, F.col("_range"))).withColumn("_guard", F.lit(True))
     both = rows.withColumn("_guard", F.lit(False)).unionByName(guards)
     w = Window.partitionBy("_range").orderBy("_guard", *order)
-    return both.withColumn("next", F.lead(F.struct(*carried)).over(w)).where(~F.col("_guard")).drop("_guard", "_range")
+    both = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).withColumns(derived)
+    return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in derived}).where(~F.col("_guard")).drop("_guard", "_range")
 
 
 def fingerprint(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
@@ -100,11 +102,12 @@ def fingerprint(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
 def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, edited, prints, edited_prints, near_edited, near_next of every document."""
-    rows = with_next(fingerprint(docs, k, w), "doc_id", ["text", "prints"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows, "doc_id", ["text"], {"prints": kept(F.col("text"), k, w)})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints", F.col("next.prints").alias("next_prints"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints", "next_prints")
     rows = rows.withColumn("edited_prints", kept(F.col("edited"), k, w))
     hashes = lambda c: F.array_distinct(F.col(c)["hash"])
     return rows.withColumn("near_edited", likeness(hashes("prints"), hashes("edited_prints"))).withColumn("near_next", likeness(hashes("prints"), hashes("next_prints")))
