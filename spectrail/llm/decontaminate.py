@@ -8,17 +8,19 @@ are merged.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.ship import ship
 
-from .common import materialize
+from .common import materialize, small
 from .fm_index import FmIndex
 from .tokens import slices
 
@@ -28,9 +30,9 @@ BLOCK_BYTES = 32_000_000
 #: A shard is indexed when it holds this many documents or this many words of the benchmark.
 SHARD_DOCS, SHARD_WORDS = 20_000, 2_000_000
 
-_letters = bytes(range(256))
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A-Z become a-z; every other byte but digits, a-z and those of non-ASCII characters becomes a space.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x39 < b < 0x61 or 0x7A < b < 0x80 else b for b in _letters)
+FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x39 < b < 0x61 or 0x7A < b < 0x80 else b for b in range(256))
 
 
 def words(text: str) -> list[bytes]:
@@ -203,6 +205,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_
     return found.select("doc_id", "mark", "n_words", "n_hit", "spans", "items")
 
 
+def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with the words of `leaks`' spans, and what stands between them, cut out of their texts; null texts stay null.
+
+    Only documents with spans travel to Python; the others are joined by (doc_id, text) to nothing and pass as they are.
+    """
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_m"])
+    hit = materialize(hit, "spans")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_m"))
+    rows = docs.join(small(hit, hit.count()), same, "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(text, spans, strict=True)])
+
+    ship(docs.sparkSession)
+    clean = rows.where("_d IS NULL AND _spans IS NULL").select(*docs.columns)
+    dirty = rows.where("_spans IS NOT NULL").withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    return clean.unionByName(dirty)
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    places = [m.span() for m in WORDS.finditer(text)]
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*out, text[at:]])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -74,15 +74,19 @@ def propagate(atoms: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
     return atoms
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Every row of `docs` (its columns without text, and size, text_crc32) with shard and slot.
+def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
+    """Every row of `docs` (its columns, and size, text_crc32) with shard and slot.
+
+    The text is left behind unless asked for; with it, texts are shuffled twice, without it no text is.
 
     The shards' counts are at most one apart, slots are gapless from 0 in each, and reruns agree but for the places of
-    equal rows among each other. Null texts have size 1 and the checksum of the empty text, and are linked with it.
+    equal rows among each other. Null texts have size 1 and the checksum of the empty text, and are linked with it. Columns of docs named like the new ones
+    are replaced.
     Repeated rows each get a slot. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*[docs[c] for c in docs.columns if c != "text"], (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).cast("long").alias("_crc"), F.xxhash64(text).alias("_hub"))
+    own = [c for c in docs.columns if with_text or c != "text"]
+    rows = docs.select(*[docs[c] for c in own], (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).cast("long").alias("_crc"), F.xxhash64(text).alias("_hub"))
     rows = rows.withColumn("_h", F.xxhash64("_hub", F.col("doc_id").cast("string")))
     rows = rows.withColumns({"_first": F.pmod("_h", F.lit(shards)).cast("int"), "_salt": F.pmod(F.shiftright("_h", 20), F.lit(SALT)).cast("int")})
     rows = materialize(rows, "shard-rows")
@@ -125,8 +129,14 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     ranked = ranked.withColumn("shard", F.when(F.col("_surplus").isNull(), F.col("_shard")).otherwise(to).cast("int"))
     kept = _literal([held.get(s, 0) for s in range(shards)], F.col("shard")) - _literal(under_base, F.col("shard"))
     ranked = ranked.withColumn("slot", F.when(F.col("_surplus").isNull(), F.col("_rank")).otherwise(F.col("_surplus") + kept).cast("long"))
-    own = [c for c in docs.columns if c != "text"]
-    return ranked.select(*own, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot")
+    made = {"size": "_size", "text_crc32": "_crc", "shard": "shard", "slot": "slot"}
+    return ranked.select(*[c for c in own if c not in made], *[F.col(c).alias(name) for name, c in made.items()])
+
+
+def write(docs: DataFrame, folder: str, **how) -> None:
+    """The documents as Parquet, a directory a shard, its rows in order of their slots within each file."""
+    placed = shard(docs, with_text=True, **how)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
 
 
 def digest(placed: DataFrame) -> DataFrame:

@@ -93,10 +93,19 @@ def test_sharding_large_group(spark):
     assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 15
 
 
+def test_sharding_writes_texts(spark, docs, rows, tmp_path):
+    sharding.write(docs, str(tmp_path / "out"), shards=4)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    check_shards(got, len(rows), 4)
+    assert {r.doc_id: r.text for r in got} == {r[0]: r[1] for r in rows}
+
+
 def test_sharding_odd(spark, odd):
     got = sharding.shard(odd.drop("size"), shards=3)
     check_shards(got.collect(), odd.count(), 3)
-    assert {"lang", "source", "score"} <= set(got.columns)
+    assert {"lang", "source", "score"} <= set(got.columns) and "text" not in got.columns
+    full = sharding.shard(odd, shards=3, with_text=True)
+    assert full.columns.count("size") == 1 and sorted((r.text or "") for r in full.collect()) == sorted((r.text or "") for r in odd.collect())
     assert sharding.shard(odd.where("false"), shards=3).count() == 0
     check_shards(sharding.shard(odd.limit(2), shards=8).collect(), 2, 8)
 
@@ -390,6 +399,18 @@ def test_decontaminate(spark, rows, block):
     assert hits > 20
 
 
+def test_remove_spans(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    texts = [f"Keep this. {item.upper()}! And this, {item}.", "clean", None, "one two three four five six seven eight nine", f"é {item}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("x", F.lit(1))
+    found = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, found).collect()}
+    assert got == {0: "Keep this. ! And this, .", 1: "clean", 2: None, 3: texts[3], 4: "é "}
+    assert found.where("n_hit > 0").count() == 2
+    again = decontaminate.leaks(decontaminate.remove_spans(docs, found), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert again.where("n_hit > 0").count() == 0
+
+
 def test_decontaminate_odd(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontaminate(odd, none)
