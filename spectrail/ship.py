@@ -17,7 +17,7 @@ def ship(spark: SparkSession) -> None:
     top = os.path.dirname(os.path.abspath(__file__))
     if sc.applicationId in _sent or not os.path.isdir(top):
         return
-    name = os.path.join(tempfile.mkdtemp(prefix="spectrail-"), "spectrail.zip")
+    name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spectrail-")), "spectrail.zip")
     with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(top):
             for f in files:
