@@ -96,27 +96,27 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, with_t
     hubs = atoms.groupBy("hub").agg(F.sum("n").alias("total")).where("total > 1")
     atoms = materialize(atoms.join(hubs, "hub").withColumn("shard", F.col("first")), "atoms")
     atoms = propagate(atoms, quotas, rounds)
-    moved = atoms.select("hub", "first", "salt", "total", F.col("shard").alias("_shard"))
-    at = [rows["_hub"] == moved["hub"], rows["_first"] == moved["first"], rows["_salt"] == moved["salt"]]
+    moved = atoms.select(F.col("hub").alias("_a"), F.col("first").alias("_b"), F.col("salt").alias("_c"), F.col("total").alias("_total"), F.col("shard").alias("_shard"))
+    at = [rows["_hub"] == moved["_a"], rows["_first"] == moved["_b"], rows["_salt"] == moved["_c"]]
     placed = rows.join(moved, at, "left").withColumn("_shard", F.coalesce("_shard", "_first"))
     large = max(1, count // shards) // LARGE
-    placed = placed.withColumn("_class", F.when(F.col("total").isNull(), 2).when(F.col("total") > large, 0).otherwise(1))
+    placed = placed.withColumn("_class", F.when(F.col("_total").isNull(), 2).when(F.col("_total") > large, 0).otherwise(1))
     cells = max(1, count // CELL)
     # Groups stay together in the order; a large one is dealt over the cells.
-    which = F.when(F.coalesce("total", F.lit(0)).between(2, CELL), F.col("_hub")).otherwise(F.xxhash64("_h", F.lit(1)))
-    placed = placed.withColumn("_cell", F.pmod(which, F.lit(cells)).cast("int")).drop("hub", "first", "salt", "total")
+    which = F.when(F.coalesce("_total", F.lit(0)).between(2, CELL), F.col("_hub")).otherwise(F.xxhash64("_h", F.lit(1)))
+    placed = placed.withColumn("_cell", F.pmod(which, F.lit(cells)).cast("int")).drop("_a", "_b", "_c", "_total")
     placed = materialize(placed, "placed")
-    sizes = placed.groupBy("_shard", "_class", "_cell").agg(F.count("*").alias("n"))
+    sizes = placed.groupBy("_shard", "_class", "_cell").agg(F.count("*").alias("_n"))
     # A row for each shard and cell, large groups first, the unlinked last: the last go where there is room.
     upto = Window.partitionBy("_shard").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     sizes = materialize(sizes, "cells")
-    held = {r._shard: r.n for r in sizes.groupBy("_shard").agg(F.sum("n").alias("n")).collect()}
+    held = {r["_shard"]: r["n"] for r in sizes.groupBy("_shard").agg(F.sum("_n").alias("n")).collect()}
     over = [max(0, held.get(s, 0) - quotas[s]) for s in range(shards)]
     under = [max(0, quotas[s] - held.get(s, 0)) for s in range(shards)]
     over_base = [sum(over[:s]) for s in range(shards)]
     under_base = [sum(under[:s]) for s in range(shards)]
-    ranked = placed.join(sizes.drop("n"), ["_shard", "_class", "_cell"])
+    ranked = placed.join(sizes.drop("_n"), ["_shard", "_class", "_cell"])
     inside = Window.partitionBy("_shard", "_class", "_cell").orderBy("_hub", "_h")
     ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(inside) - 1)
     surplus = F.col("_rank") - _literal(quotas, F.col("_shard"))

@@ -104,6 +104,8 @@ def test_sharding_odd(spark, odd):
     got = sharding.shard(odd.drop("size"), shards=3)
     check_shards(got.collect(), odd.count(), 3)
     assert {"lang", "source", "score"} <= set(got.columns) and "text" not in got.columns
+    for name in ("total", "hub", "first", "salt", "n", "shard"):
+        odd = odd.withColumn(name, F.lit("clash"))
     full = sharding.shard(odd, shards=3, with_text=True)
     assert full.columns.count("size") == 1 and sorted((r.text or "") for r in full.collect()) == sorted((r.text or "") for r in odd.collect())
     assert sharding.shard(odd.where("false"), shards=3).count() == 0
