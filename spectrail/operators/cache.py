@@ -30,6 +30,12 @@ def metadata(data: Dataset, columns: Sequence[str] = COLUMNS, max_cells: int = M
     return _held[key]
 
 
+def whole(data: Dataset, max_cells: int = MAX_CELLS) -> DataFrame:
+    """All variables but the lists, kept in memory under the same bound."""
+    names = [c for c in data.view().columns if c not in (*data.peak_variables(), "spectrum_id_")]
+    return metadata(data, names, max_cells)
+
+
 def warm(data: Dataset, columns: Sequence[str] = COLUMNS) -> int:
     return metadata(data, columns).count()
 

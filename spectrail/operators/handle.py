@@ -31,8 +31,11 @@ class Handle:
         self.data, self.frame, self.full, self.overlay, self.log = data, frame, full, overlay, log
 
     @classmethod
-    def of(cls, data: Dataset) -> Handle:
-        return cls(data, data.view().withColumn("ord_", F.col("spectrum_id_").cast("long")), full=True)
+    def of(cls, data: Dataset, cached: bool = False) -> Handle:
+        from spectrail.operators import cache
+
+        frame = cache.whole(data) if cached else data.view()
+        return cls(data, frame.withColumn("ord_", F.col("spectrum_id_").cast("long")), full=True)
 
     def _with(self, frame: DataFrame, step: tuple | None = None, **more) -> Handle:
         log = None if step is None or self.log is None else (*self.log, step)
@@ -118,7 +121,10 @@ class Handle:
         if self.data.kind == "native":
             if not allow_native:
                 raise UnsupportedError("filter_contains_mz needs points; pass allow_native=True to search peak lists", kind="native")
-            return self._where(pk.holds("mz", ranges), step)
+            if "mz" in self.frame.columns:
+                return self._where(pk.holds("mz", ranges), step)
+            found = self.data.lists("mz").where(pk.holds("mz", ranges)).select("run_id", "spectrum_id_")
+            return self._with(self.frame.join(found, ["run_id", "spectrum_id_"], "left_semi"), step)
         from spectrail.operators.projection import search_points
 
         found = search_points(self.data).where(pr.either([pr.in_range(F.col("mz"), a, b) for a, b in ranges])).select("spectrum_id_").distinct()
@@ -246,6 +252,8 @@ class Handle:
 
     def _with_points(self, frame: DataFrame, wanted: list[str]) -> DataFrame:
         """Lists gathered from the points of the frame's spectra; none: empty."""
+        if self.data.kind == "native":  # by run as well, so that only the directories of selected runs are read
+            return frame.join(self.data.lists(*wanted), ["run_id", "spectrum_id_"], "left")
         ids = frame.select("spectrum_id_").distinct()
         points = self.data.points() if self.full else self.data.points().join(ids, "spectrum_id_", "left_semi")
         frame = frame.join(pk.gathered(points, "spectrum_id_"), "spectrum_id_", "left")
@@ -293,7 +301,8 @@ class Handle:
             sums = self.data.points().groupBy("spectrum_id_").agg(F.sum("intensity").alias("s"))
             rows = self.frame.select("ord_", "spectrum_id_").join(sums, "spectrum_id_", "left")
             return rows.select("ord_", "spectrum_id_", F.coalesce("s", F.lit(0.0)).alias("ionCount")).orderBy("ord_").drop("ord_")
-        return self.frame.select("ord_", "spectrum_id_", pk.summed().alias("ionCount")).orderBy("ord_").drop("ord_")
+        rows = self._columns(["intensity"], ["ord_", "spectrum_id_"])
+        return rows.select("ord_", "spectrum_id_", pk.summed().alias("ionCount")).orderBy("ord_").drop("ord_")
 
     def lengths(self) -> DataFrame:
         return self._columns(["mz"], ["ord_", "spectrum_id_"]).select("ord_", "spectrum_id_", pk.count().alias("n_peaks")).orderBy("ord_").drop("ord_")
@@ -303,7 +312,7 @@ class Handle:
         mz = [mz] if isinstance(mz, (int, float)) else list(mz)
         ranges = pr.windows(mz, ppm, tolerance)
         if self.data.kind == "native":
-            rows = self.frame.select("ord_", "spectrum_id_", pk.holds("mz", ranges).alias("contains"))
+            rows = self._columns(["mz"], ["ord_", "spectrum_id_"]).select("ord_", "spectrum_id_", pk.holds("mz", ranges).alias("contains"))
         else:
             hits = self.data.points().where(pr.either([pr.in_range(F.col("mz"), a, b) for a, b in ranges])).select("spectrum_id_", F.lit(True).alias("_hit")).distinct()
             rows = self.frame.select("ord_", "spectrum_id_").join(hits, "spectrum_id_", "left").select("ord_", "spectrum_id_", F.col("_hit").isNotNull().alias("contains"))
@@ -349,7 +358,7 @@ class Handle:
 
 
 def pk_names(handle: Handle) -> tuple[str, ...]:
-    return ("mz", "intensity") if handle.data.kind != "native" else ()
+    return tuple(handle.data.peak_variables()) if "mz" not in handle.frame.columns else ()
 
 
 def _replay(data: Dataset, log: tuple) -> Handle:

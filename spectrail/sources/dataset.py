@@ -140,10 +140,15 @@ class Dataset:
         lists = [f.name for f in self.raw().schema.fields if isinstance(f.dataType, ArrayType)]
         return [*PEAKS, *[c for c in lists if c not in PEAKS and c not in KEYS]]
 
-    def spectra(self):
+    def lists(self, *columns: str) -> DataFrame:
+        """run_id, spectrum_id_ and list columns of a native dataset."""
+        return self.raw().select("run_id", "spectrum_id_", *columns)
+
+    def spectra(self, cached: bool = False):
+        """The handle of all spectra. cached: its metadata are kept in memory (see operators.cache) and lists joined when asked for."""
         from spectrail.operators.handle import Handle
 
-        return Handle.of(self)
+        return Handle.of(self, cached)
 
     def __reduce__(self):
         if self.path is None:

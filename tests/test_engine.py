@@ -250,6 +250,23 @@ def test_cache(big):
     assert cache.metadata(big) is not df
 
 
+def test_cached_handles_agree(big):
+    plain, kept = big.spectra(), big.spectra(cached=True)
+    assert "mz" not in kept.frame.columns and kept.count() == 3000
+    steps = [
+        lambda h: h.filter_rt(10, 20).filter_ms_level(2), lambda h: h.filter_rt(10, 11, ms_level=1).filter_rt(0, 30), lambda h: h.filter_precursor_mz_range(100.2, 100.9),
+        lambda h: h.filter_data_origin("file-b", "file-a").take([0, 2999]), lambda h: h.take([7, 3, 7]), lambda h: h.filter_contains_mz([2501, 301], ppm=0, allow_native=True),
+    ]
+    for step in steps:
+        a, b = step(plain), step(kept)
+        assert ids(a) == ids(b)
+        for get in (lambda h: h.peaks_data(), lambda h: h.ion_count(), lambda h: h.lengths(), lambda h: h.spectra_data("rtime", "intensity", "dataOrigin"), lambda h: h.contains_mz(301, ppm=0)):
+            assert get(a).collect() == get(b).collect()
+    plan = kept.filter_rt(10, 20).spectra_data("spectrum_id_", "rtime")._jdf.queryExecution().toString()
+    assert "InMemoryTableScan" in plan
+    cache.invalidate(big.path)
+
+
 # -- archives
 
 
