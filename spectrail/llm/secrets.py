@@ -45,6 +45,8 @@ MORE = (
 RULES = BASE + MORE
 
 SPAN = "struct<start:int,rank:int,end:int>"
+#: Trigrams that are asked for of each set: the rarest.
+GRAMS = 2
 #: Matches whose places are added up in one go; longer lists are added up in blocks of this many.
 BLOCK = 256
 
@@ -117,7 +119,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Null and empty texts have none. Repeated rows each give a row with its own spans.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
+    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern, GRAMS)) is not None}
     grams = sorted({g for sets in queries.values() for s in sets for g in s})
     if queries:
         index = materialize(postings(rows, grams), "postings")
@@ -143,3 +145,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     of = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     counts = [of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The query in DuckDB SQL: places from the lengths of the matches and of what lies between."""
+    one = "SELECT r, {i} AS rank, '{k}' AS kind, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS f, regexp_extract_all(t, '{p}', {g}) AS g, {n} AS least FROM d"
+    every = "\n  UNION ALL ".join(one.format(i=i, k=r.kind, p=r.pattern.replace("'", "''"), g=r.group, n=r.least) for i, r in enumerate(RULES))
+    text = "string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank)"
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({every}),
+s AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m),
+spans AS (
+  SELECT r, rank, kind, length(f[i]) AS n,
+    (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+  FROM s WHERE length(g[i]) >= least),
+found AS (
+  SELECT r, {counts}, {text} FILTER (rank < {len(BASE)}) AS base, {text} AS spans FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+SQL = _sql()

@@ -10,6 +10,9 @@ MOST_STRINGS = 64
 #: A class of so many characters or fewer is spelled out.
 MOST_CLASS = 8
 
+#: Letters from common to rare in prose; other characters are rarer still.
+COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+
 Query = frozenset[frozenset[str]] | None
 
 
@@ -17,12 +20,26 @@ def trigrams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
 
-def query(pattern: str) -> list[list[str]] | None:
-    """Sets of lower-case trigrams, of which each match of the pattern (lower-cased) holds one whole; None: nothing is mandatory."""
+def rarity(gram: str) -> int:
+    return sum(COMMON.index(c) if c in COMMON else len(COMMON) for c in gram)
+
+
+def query(pattern: str, most: int | None = None) -> list[list[str]] | None:
+    """Sets of lower-case trigrams, of which each match of the pattern (lower-cased) holds one whole; None: nothing is mandatory.
+
+    most: of a larger set only the rarest trigrams are asked for, which admits more and loses none.
+    """
     strings, found = _sequence(_parser.parse(pattern))
     found = _both(found, _of(strings))
-    # A set that holds another one admits no text that the other does not.
-    return None if found is None else sorted(sorted(s) for s in found if not any(o < s for o in found))
+    if found is None:
+        return None
+    found = {frozenset(sorted(s, key=lambda g: (-rarity(g), g))[:most]) for s in _least(found)}
+    return sorted(sorted(s) for s in _least(found))
+
+
+def _least(sets) -> list[frozenset[str]]:
+    """Without the sets that hold another one: they admit no text that the other does not."""
+    return [s for s in sets if not any(o < s for o in sets)]
 
 
 def _of(strings: set[str] | None) -> Query:
