@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_source_mix": mixing.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "op6_secret_scan": secrets.SQL,
 }
