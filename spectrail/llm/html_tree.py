@@ -37,6 +37,8 @@ UNWANTED = frozenset(
     "comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login "
     "popup modal overlay complementary contentinfo search skip copyright legal disclaimer tags tagcloud trending".split()
 )
+#: Of these, the words that count even beside a wanted word (an entry's header holds its title; a post's footer is none).
+SURELY = frozenset("ad ads advert advertisement sponsored promo banner cookie cookies consent notice sidebar nav navbar navigation menu footer comment comments commentlist reply related share sharing newsletter popup".split())
 WANTED = frozenset("article body content entry main page post text blog story hentry articlebody".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -118,7 +120,12 @@ def unwanted(node: Node) -> bool:
     """Whether an element and all below it can't be part of the article."""
     if node.tag in DROPPED or node.tag in RAW or node.hidden:
         return True
-    return node.tag not in ("article", "main", "body", "html") and bool(node.words & UNWANTED) and not (node.words & WANTED and not node.words & {"comment", "comments", "sidebar", "ad", "ads", "cookie", "related"})
+    found = node.words & UNWANTED
+    if not found or node.tag in ("main", "body", "html"):
+        return False
+    if node.tag == "article" or node.words & WANTED:
+        return bool(found & SURELY)
+    return True
 
 
 def _measure(root: Node) -> tuple[dict[int, tuple[int, int]], list[Node]]:

@@ -507,6 +507,12 @@ def test_html_never_fails(text):
     assert isinstance(main_text(text), str)
 
 
+def test_html_wanted_and_unwanted_words():
+    page = """<body class="page no-sidebar"><main><article class="post"><div class="entry-header"><h2>Title</h2></div><div class="post-content"><p>Body, one.</p><p>Body, two.</p></div>
+    <div class="post-footer">Tags, here</div></article><div id="main-menu">Menu</div><article class="comment">Me, too, great, stuff, all</article></main></body>"""
+    assert main_text(page) == "Title\nBody, one.\nBody, two."
+
+
 def test_html_keeps_every_paragraph():
     lines = [f"Line {i}, with words." for i in range(200)] + ["Tiny"]
     page = "<body><div class=menu><a href=a>A</a></div><div class=post>" + "".join(f"<p>{x}</p>" for x in lines) + "</div></body>"
