@@ -43,7 +43,8 @@ def main() -> None:
         frame = api.Dataset.of_frames(spark, raw).view().drop("_time", "run_id", "spectrum_index").withColumn("place", F.col("spectrum_id_"))
         data = api.create(spark, f"{top}/ds", frame, order_by="place", row_group=5000)
         seconds = {"ingest": time.time() - began}
-        h = data.spectra()
+        h, k = data.spectra(), data.spectra(cached=True)
+        cache.whole(data).count()
         queries = {
             "rt_range": lambda: h.filter_rt(200, 300).spectra_data("spectrum_id_", "msLevel", "rtime", "precursorMz"),
             "rt_narrow": lambda: h.filter_rt(250, 260).spectra_data("spectrum_id_", "msLevel", "rtime", "precursorMz"),
@@ -57,9 +58,10 @@ def main() -> None:
             "all_metadata": lambda: h.spectra_data("spectrum_id_", "msLevel", "rtime", "precursorMz", "totIonCurrent", "dataOrigin"),
             "ion_count": lambda: h.ion_count(),
             "unique_ms_levels": lambda: spark.createDataFrame([(x,) for x in h.unique_ms_levels()], "l int"),
-            "cached_rt_range": lambda: cache.metadata(data).where("rtime BETWEEN 200 AND 300"),
+            "cached_rt_range": lambda: k.filter_rt(200, 300).spectra_data("spectrum_id_", "msLevel", "rtime", "precursorMz"),
+            "cached_rt_and_precursor": lambda: k.filter_rt(200, 1300).filter_precursor_mz_values([1000.0], ppm=30, tolerance=5).spectra_data("spectrum_id_", "precursorMz"),
+            "cached_ms1_peaks": lambda: k.filter_ms_level(1).filter_rt(200, 1300).peaks_data(),
         }
-        cache.warm(data)
         for name, make in queries.items():
             best = []
             for _ in range(RUNS):
