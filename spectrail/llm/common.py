@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
         found = "file://" + tempfile.mkdtemp(prefix="spectrail-")
         spark.sparkContext.setCheckpointDir(found)
         _drop_at_exit(spark, found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    # A path without a scheme belongs to the cluster's default file system.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
