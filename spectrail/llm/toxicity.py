@@ -73,7 +73,7 @@ def _choose(score: np.ndarray, least: float, first: np.ndarray, label: np.ndarra
     return out
 
 
-def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Network | None:
+def train(texts: list[str], labels: list[int], *, steps: int | None = None, rate: float = RATE, seed: int = 7) -> Network | None:
     """A network fitted to the texts; None unless both labels occur among those with words."""
     kept = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := _windows(t))]
     if len({y for _, y in kept}) < 2:
@@ -87,7 +87,7 @@ def train(texts: list[str], labels: list[int], *, steps: int = STEPS, rate: floa
     flat = [" ".join(x.decode() for x in w) for d in docs for w in d]
     first = np.cumsum([0, *[len(d) for d in docs]])
     score, epoch, done = _tell(docs, label), 0, 0
-    steps = max(steps, EPOCHS)
+    steps = max(steps or STEPS, EPOCHS)
     while done < steps:
         if epoch:
             score = 1 / (1 + np.exp(-_logits(net, flat)))

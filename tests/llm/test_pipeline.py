@@ -12,6 +12,11 @@ from spectrail.llm import decontaminate, mixing, toxicity
 from test_operators import brute_components, brute_leaks, check_shards, simple_print, toxic_rows
 
 
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 150)
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Tables with toxic documents, near copies and benchmark passages."""
