@@ -15,7 +15,7 @@ WINDOW, STRIDE = 32, 24
 #: Part of the words whose own embedding a training step leaves out, and what a step keeps of all embeddings.
 DROP, DECAY = 0.15, 1e-3
 #: Words that a scorer remembers the input of; beyond this it starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 #: A-Z become a-z; other ASCII but letters, digits and apostrophes becomes a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() or b == 0x27 else 0x20 for b in range(256))
 
