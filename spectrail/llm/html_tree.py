@@ -18,6 +18,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first name ends where one of the others begins.
 ENDED_BY = {
     "p": BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "body", "html"},
@@ -163,8 +164,12 @@ def _direct(node: Node) -> str:
 START = {"article": 25.0, "main": 15.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "body": -5.0, "html": -10.0, "#root": -10.0}
 
 
-def best(root: Node) -> list[Node]:
-    """The containers whose text is the page's: the best one and those of its siblings that go with it."""
+def best(root: Node) -> list[Node | str | None]:
+    """The page's text: the best container and, up to the main element, what stands beside it; None where a block ends.
+
+    Without a main element it goes up to what holds the outermost article, and without an article to the body, but at least
+    one step. Beside the best container stays all that is wanted and not mostly links, however short; headings stay though they be links.
+    """
     size, order = _measure(root)
     scored: dict[int, Node] = {}
     for node in order:
@@ -193,22 +198,53 @@ def best(root: Node) -> list[Node]:
         return (node.score + bonus) * (1 - linked / max(1, all_))
 
     top = max(scored.values(), key=final)
-    if top.parent is None:
-        return [top]
-    least, out = max(10.0, 0.2 * final(top)), []
-    for c in top.parent.children:
-        if isinstance(c, str) or unwanted(c) or id(c) not in size:
-            continue
-        all_, linked = size[id(c)]
-        if c is top or (id(c) in scored and final(c) >= least and c.tag in ("article", "section", "div", "main", "td", top.tag)):
-            out.append(c)
-        elif c.tag == "p" and all_ and ((all_ > 80 and linked < 0.25 * all_) or (linked == 0 and re.search(r"\.(\s|$)", _direct(c)))):
-            out.append(c)
-    return out
+    least = max(10.0, 0.2 * final(top))
+
+    def kept(children: list[Node | str]) -> list[Node | str]:
+        """Text and inline elements in a row are judged as one."""
+        out: list[Node | str] = []
+        run: list[Node | str] = []
+
+        def close() -> None:
+            own = sum(len(c.strip()) if isinstance(c, str) else size[id(c)][0] for c in run)
+            if 2 * sum(size[id(c)][1] for c in run if not isinstance(c, str)) <= own:
+                out.extend(run)
+            run.clear()
+
+        for c in children:
+            if isinstance(c, str):
+                run.append(c)
+            elif id(c) in size:  # not unwanted
+                all_, linked = size[id(c)]
+                if c.tag not in BLOCK:
+                    run.append(c)
+                    continue
+                close()
+                if c.tag in HEADINGS or 2 * linked <= all_ or (id(c) in scored and final(c) >= least):
+                    out.append(c)
+        close()
+        return out
+
+    path = [top]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    outer = {x.tag: x for x in path}  # the outermost of each name
+    end = outer.get("main") or (outer["article"].parent if "article" in outer else outer.get("body", root))
+    before: list[Node | str | None] = []  # from the container outwards
+    after: list[Node | str | None] = []
+    for at in path[: max(path.index(end), 1)] if top.parent else []:
+        around = at.parent.children
+        i = around.index(at)
+        if at.tag in BLOCK:
+            before.append(None)
+            after.append(None)
+        before += reversed(kept(around[:i]))
+        after += kept(around[i + 1 :])
+    return [*reversed(before), top, *after]
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """The text of the elements, block by block in page order; white space is made one space, empty blocks go."""
+def blocks(nodes: list[Node | str | None]) -> list[str]:
+    """The text of the elements, block by block in page order; None ends a block, white space is made one space, empty blocks go."""
     out: list[str] = []
     held: list[str] = []
 

@@ -519,6 +519,19 @@ def test_html_keeps_every_paragraph():
     assert main_text(page) == "\n".join(lines)
 
 
+def test_html_keeps_what_is_beside_a_long_section():
+    long = "".join(f"<p>Paragraph {i}, one, two, three, four, five.</p>" for i in range(40))
+    lines = [f"Paragraph {i}, one, two, three, four, five." for i in range(40)]
+    page = f"<article><h1>T</h1><section>{long}</section><section><p>Short closing paragraph.</p></section></article>"
+    assert main_text(page) == "\n".join(["T", *lines, "Short closing paragraph."])
+    rest = "<h2><a href=a>Head</a></h2><ul><li>item</ul><ol><li>first</ol><table><tr><td>cell</table><blockquote>quote</blockquote><pre>code</pre><figure><figcaption>caption</figcaption></figure>"
+    want = ["Lead", *lines, "Head", "item", "first", "cell", "quote", "code", "caption", "loose text", "tail"]
+    for page in ("<body><main>{}</main><p>Out.</p></body>", "<body><article>{}</article></body>", "<body><div>{}</div></body>"):
+        inner = f"<p>Lead</p><div><div class=content>{long}</div>{rest}<ul><li><a href=b>More links</a></ul><div class=ad>Buy</div></div>loose <b>text</b><div>tail</div><a href=c>x</a>"
+        assert main_text(page.format(inner)) == "\n".join(want)
+    assert main_text("<body><main><p>One, two, three.</p></main><p>Beside.</p></body>") == "One, two, three.\nBeside."
+
+
 # -- op9
 
 
