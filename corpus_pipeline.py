@@ -4,8 +4,7 @@ mixed to their targets, and what is left is dealt to balanced shards.
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read as the next one's docs. All
 but the last return the columns of the documents they got; the last returns doc_id, size, text_crc32, law, shard, slot and
 grown_shard of every row. Null and empty texts are clean, have fingerprint zero, hold no benchmark words and no words to
-mix. Extra columns pass through. Documents without a doc_id can't be told apart where a stage keeps by id: of those in
-groups of near-duplicates one stays at most.
+mix. Extra columns pass through. Documents are told apart by doc_id and text, those without a doc_id by their texts.
 """
 
 from __future__ import annotations
@@ -25,12 +24,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs)
-    gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    kept = docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept.dropDuplicates(["doc_id"]) if ids.take(1) else kept
+    """Keeps one document of each group of near-duplicates, that of the smallest id (null last) and then text hash.
+
+    Rows without an id are told apart by their texts, so those in no group all stay. Of rows that share an id and stay, one
+    does: that of the smallest text hash.
+    """
+    rows = materialize(simhash.kept_of_each(docs).groupBy("doc_id", "mark", "stays").agg(F.count("*").alias("n")), "near-duplicates")
+    key = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
+    stays = rows.where("stays")
+    one = stays.where("doc_id is not null").groupBy("doc_id").agg(F.min("mark").alias("least"), F.count("*").alias("texts")).where("texts > 1")
+    more = stays.join(one, "doc_id").where("mark != least")
+    gone = materialize(rows.where("not stays").select(*key).unionByName(more.select(*key)), "duplicates")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    kept = docs.join(small(gone, gone.count()), same, "left_anti")
+    again = materialize(stays.where("n > 1").select(*key), "repeated")
+    if not (many := again.count()):
+        return kept
+    repeated = kept.join(small(again, many), same, "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"])
+    return kept.join(small(again, many), same, "left_anti").unionByName(repeated.drop("_mark"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

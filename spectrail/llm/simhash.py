@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.ship import ship
@@ -53,17 +53,19 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and print (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, words: int = WORDS, *, marks: bool = False) -> DataFrame:
+    """doc_id and print (the fingerprint's bits as a signed long) of every row; with `marks` also mark (xxhash64 of the text)."""
+    names = ["doc_id", "mark"] if marks else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
                 prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(prints)], [*names, "print"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").select(*names, "text")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "print"]))
 
 
 def masks(most: int, chosen: int) -> list[int]:
@@ -135,6 +137,16 @@ def links(prints: DataFrame, n: int, most: int = MOST, node: int = NODE) -> Data
     return dealt.select(*keys, "side", "print").mapInArrow(run_nodes, "child long, parent long").distinct()
 
 
+def _least(prints: DataFrame, of: Column, most: int, node: int) -> DataFrame:
+    """print and least (the smallest `of` among the rows of its component) of every different fingerprint."""
+    first = materialize(prints.groupBy("print").agg(F.min(of).alias("first")), "different-prints")
+    edges = links(first.select("print"), first.count(), most, node)
+    group = components(edges, "child", "parent")
+    whole = first.join(group.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    least = whole.groupBy("root").agg(F.min("first").alias("least"))
+    return whole.join(least, "root").select("print", "least")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST, node: int = NODE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document.
 
@@ -143,15 +155,19 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST, no
     no component's smallest unless it has no other.
     """
     prints = materialize(fingerprints(docs, words), "prints")
-    first = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "different-prints")
-    edges = links(first.select("print"), first.count(), most, node)
-    group = components(edges, "child", "parent")
-    whole = first.join(group.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = whole.join(least, "root").select("print", "component_id")
+    ids = _least(prints, F.col("doc_id"), most, node).withColumnRenamed("least", "component_id")
     out = prints.join(ids, "print")
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def kept_of_each(docs: DataFrame, *, words: int = WORDS, most: int = MOST, node: int = NODE) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text) and stays of every row: whether it is its component's row of the smallest id, and
+    of that id's the smallest mark. A null doc_id comes last. Rows that repeat id and text all stay or all go."""
+    prints = materialize(fingerprints(docs, words, marks=True), "prints")
+    ids = _least(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"), most, node)
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    return prints.join(ids, "print").select("doc_id", "mark", same.alias("stays"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -78,6 +78,20 @@ def test_stages_on_odd_rows(spark, folder):
     assert corpus_pipeline.drop_near_duplicates(spark, odd, folder).where("doc_id = 5").count() == 1
 
 
+def test_near_duplicates_are_told_apart_by_text(spark, folder):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(40))
+    own, shared, other = [text() for _ in range(30)], text(), text()
+    # Texts without an id, one of them twice; a text with and without an id; an id with a near-duplicate and another text.
+    rows = [(None, t) for t in [*own, own[0], shared]] + [(7, shared), (7, shared), (9, shared), (9, other), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert got.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(t for i, t in got if i is None and t) == sorted(own) and sorted((i, t) for i, t in got if i) == [(7, shared), (9, other)]
+    assert sum(i is None and not t for i, t in got) == 1
+
+
 def test_run_and_contract(spark, folder):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {f"op{i}_" for i in range(1, 11)} == {k.split("_")[0] + "_" for k in found if k.startswith("op")} and "pipeline" in found and set(sql) <= set(found)
