@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,6 @@ from .tokens import slices
 
 #: The classifier is fitted on at most so many toxic and so many clean documents, chosen by a hash of doc_id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 2400
-#: Of a sampled document, training looks at windows of at most so many words, from its whole length.
-SAMPLE_WORDS = 20_000
 #: Training takes `STEPS` batches, dealt over at least EPOCHS epochs.
 STEPS, EPOCHS, BATCH, RATE = 600, 8, 64, 0.01
 #: Windows that a toxic document gives at most, if they count at least half as much as its best one.
@@ -41,15 +40,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _windows(text: str) -> list[list[bytes]]:
-    w = words(text)
-    at = starts(len(w)) if w else []
-    if len(w) > SAMPLE_WORDS:
-        at = at[np.linspace(0, len(at) - 1, SAMPLE_WORDS // WINDOW).astype(int)]
-    return [w[i : i + WINDOW] for i in at]
+class _Windows(Sequence):
+    """All windows of a text, each cut when it is asked for."""
 
+    def __init__(self, words: list[bytes]) -> None:
+        self.words, self.starts = words, starts(len(words)) if words else np.zeros(0, np.int64)
 
-def _tell(docs: list[list[list[bytes]]], labels: np.ndarray) -> np.ndarray:
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> list[bytes]:
+        at = int(self.starts[i])
+        return self.words[at : at + WINDOW]
+
+
+def _windows(text: str, known: dict[bytes, bytes] | None = None) -> Sequence[list[bytes]]:
+    """The windows; texts of one `known` share their words."""
+    share = ({} if known is None else known).setdefault
+    return _Windows([share(w, w) for w in words(text)])
+
+
+def _tell(docs: list[Sequence[list[bytes]]], labels: np.ndarray) -> np.ndarray:
     """A first score of every window: how telling of toxic documents its most telling n-gram is."""
     seen = np.zeros((2, GRAMS))
     for windows, label in zip(docs, labels, strict=True):
@@ -75,7 +86,8 @@ def _choose(score: np.ndarray, least: float, first: np.ndarray, label: np.ndarra
 
 def train(texts: list[str], labels: list[int], *, steps: int | None = None, rate: float = RATE, seed: int = 7) -> Network | None:
     """A network fitted to the texts; None unless both labels occur among those with words."""
-    kept = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := _windows(t))]
+    known: dict[bytes, bytes] = {}
+    kept = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := _windows(t, known))]
     if len({y for _, y in kept}) < 2:
         return None
     docs, label = [d for d, _ in kept], np.array([y for _, y in kept], np.float32)
@@ -84,13 +96,12 @@ def train(texts: list[str], labels: list[int], *, steps: int | None = None, rate
     vocabulary = {x: i + 1 for i, x in enumerate(vocabulary)}
     net, rng = Network(vocabulary, seed), np.random.default_rng(seed)
     adam = Adam(net.p, rate)
-    flat = [" ".join(x.decode() for x in w) for d in docs for w in d]
     first = np.cumsum([0, *[len(d) for d in docs]])
     score, epoch, done = _tell(docs, label), 0, 0
     steps = max(steps or STEPS, EPOCHS)
     while done < steps:
         if epoch:
-            score = 1 / (1 + np.exp(-_logits(net, flat)))
+            score = 1 / (1 + np.exp(-_logits(net, docs)))
         todo = _choose(score, 0.5, first, label, rng)
         # Toxic windows repeat until they are a seventh; an epoch has its share of the steps.
         toxic = [x for x in todo if label[x[0]]]
@@ -111,16 +122,18 @@ def train(texts: list[str], labels: list[int], *, steps: int | None = None, rate
             for n, w in enumerate(picked):
                 ids[: len(w), n], mask[: len(w), n] = [place[x] for x in w], True
             adam.apply(net.p, net.gradients(found, ids, mask, label[[i for i, _ in some]], rng)[1])
-    logit = _logits(net, flat)
+    logit = _logits(net, docs)
     best = np.array([logit[a:b].max() for a, b in zip(first[:-1], first[1:], strict=True)])
     net.scale, net.shift = _calibrate(best, label)
     return net
 
 
-def _logits(net: Network, flat: list[str]) -> np.ndarray:
+def _logits(net: Network, docs: list[Sequence[list[bytes]]]) -> np.ndarray:
+    """The logit of every window of the documents; a bounded number of windows is text at a time."""
     scorer, out = Scorer(net), []
-    for at in range(0, len(flat), 4096):
-        out.append(scorer.windows(flat[at : at + 4096])[2])
+    flat = (b" ".join(w).decode() for d in docs for w in d)
+    while some := list(islice(flat, 4096)):
+        out.append(scorer.windows(some)[2])
     return np.concatenate(out)
 
 

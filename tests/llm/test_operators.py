@@ -594,6 +594,13 @@ def test_a_long_text_is_read_to_its_end(network):
     assert bigru.Scorer(network).score([clean[0]])[0] == pytest.approx(bigru.Scorer(network).score([clean[1], clean[0], clean[2]])[1], abs=1e-5)
 
 
+def test_training_sees_every_window_of_a_long_text():
+    w = [f"w{i}".encode() for i in range(60_000)]
+    got = toxicity._windows(" ".join(x.decode() for x in w))
+    assert [x[0] for x in got] == [w[i] for i in bigru.starts(len(w))] and set().union(*got) == set(w)
+    assert len(toxicity._windows("")) == 0 and list(toxicity._windows("a b")) == [[b"a", b"b"]]
+
+
 def test_toxicity_odd(spark, odd, network):
     got = toxicity.classify(odd, network)
     rows = got.collect()
