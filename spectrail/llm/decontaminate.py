@@ -39,25 +39,29 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(FOLD).split()
 
 
+def _null_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Windows:
     """The different windows of some benchmark items as word numbers, by length, and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW) -> None:
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 found.setdefault(tuple(w[i : i + window]), set()).add(item)
         lengths = sorted({len(w) for w in found})
         self.shortest = lengths[0] if lengths else 0
-        self.groups = [(n, np.array([w for w in found if len(w) == n], np.int64), [sorted(found[w]) for w in found if len(w) == n]) for n in lengths]
+        self.groups = [(n, np.array([w for w in found if len(w) == n], np.int64), [sorted(found[w], key=_null_last) for w in found if len(w) == n]) for n in lengths]
 
 
 def _blocks(benchmark: DataFrame, window: int, size: int) -> Iterator[Windows]:
     """The items in blocks of about `size` bytes of text; at least one block, though it be empty."""
     held, used, first = [], 0, True
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).where("i is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
         held.append((row.i, row.t))
         used += len(row.t.encode())
         if used >= size:
@@ -101,10 +105,10 @@ class _Shard:
     def full(self) -> bool:
         return self.docs >= SHARD_DOCS or self.held >= SHARD_WORDS
 
-    def finish(self) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], list[str]]]]:
+    def finish(self) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], list[str | None]]]]:
         """Words of each document, and of those with a hit the merged spans and the items."""
         counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
-        hits: dict[int, tuple[list[tuple[int, int]], list[str]]] = {}
+        hits: dict[int, tuple[list[tuple[int, int]], list[str | None]]] = {}
         if self.held:
             doc, word, size, flat = (np.concatenate(x) for x in zip(*self.segments, strict=True))
             place = np.cumsum(size + 1) - size  # of each segment in the sequence, behind its separator
@@ -127,7 +131,7 @@ class _Shard:
                     own[-1] = (own[-1][0], max(end, own[-1][1]))
                 else:
                     own.append((begin, end))
-            for d, item in sorted(pairs):
+            for d, item in sorted(pairs, key=lambda x: (x[0], *_null_last(x[1]))):
                 hits[d][1].append(item)
         return counts, hits
 
@@ -181,10 +185,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, mark (xxhash64 of the text), n_words, n_hit, spans (in words, end exclusive, merged) and items of every document.
 
-    docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no words; items without words or id have no
-    windows; an item shorter than the window is one window. Repeated rows each give a row. The windows of a block of the
-    benchmark are broadcast, at most about `block_bytes` of text; a larger benchmark is searched block by block and the
-    blocks' spans are merged by document.
+    docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no words; items without words have no
+    windows; an item shorter than the window is one window. One null at the end of items stands for all found items without
+    id. Repeated rows each give a row. The windows of a block of the benchmark are broadcast, at most about `block_bytes` of
+    text; a larger benchmark is searched block by block and the blocks' spans are merged by document.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
     blocks = _blocks(benchmark, window, block_bytes)

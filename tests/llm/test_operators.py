@@ -401,6 +401,24 @@ def test_decontaminate(spark, rows, block):
     assert hits > 20
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 10])
+def test_items_without_id_are_searched(spark, tmp_path, block):
+    import duckdb
+
+    one, two = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"{two} and {one}"), (3, "clean"), (4, two)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, one), (None, two), (8, two)], "item_id long, text string")
+    for name, df in (("documents", docs), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.decontaminate(docs, items, block_bytes=block).collect()}
+    assert got == {1: (12, [None], True), 2: (24, ["8", None], True), 3: (0, [], False), 4: (12, ["8", None], True)}
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    out = decontaminate.query(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted(con.execute(f"SELECT {', '.join(out.columns)} FROM ({decontaminate.SQL})").fetchall())
+
+
 def test_remove_spans(spark):
     item = "one two three four five six seven eight nine ten eleven"
     texts = [f"Keep this. {item.upper()}! And this, {item}.", "clean", None, "one two three four five six seven eight nine", f"é {item}"]
