@@ -4,7 +4,8 @@ mixed to their targets, and what is left is dealt to balanced shards.
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read as the next one's docs. All
 but the last return the columns of the documents they got; the last returns doc_id, size, text_crc32, law, shard, slot and
 grown_shard of every row. Null and empty texts are clean, have fingerprint zero, hold no benchmark words and no words to
-mix. Extra columns pass through. Documents are told apart by doc_id and text, those without a doc_id by their texts.
+mix. Extra columns pass through. Documents are told apart by doc_id and text, those without a doc_id by their texts;
+where near-duplicates go, rows of one doc_id are made one all the same.
 """
 
 from __future__ import annotations
