@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spectrail-")
         spark.sparkContext.setCheckpointDir(found)
         _drop_at_exit(spark, found)
@@ -79,6 +81,35 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of `taken` has it, whatever its case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def parts_of(df: DataFrame, size: int = 128 << 20, most: int = 20_000) -> int:
+    """Into how many parts of about `size` bytes the plan's estimate of `df` goes; at least spark.sql.shuffle.partitions."""
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(partitions(df.sparkSession), min(most, held // size))
+
+
+def spread_join(big: DataFrame, rows: int, few: DataFrame, key: str, n: str) -> DataFrame:
+    """`big` (of `rows` rows) joined by `key` with `few`, which has a row for each key and in `n` how many rows of big have it.
+
+    Keys that hold more than a quarter of an even share of a task are joined by broadcast: by their size at most
+    4 x spark.sql.shuffle.partitions of them. The rest, now without hot keys, are shuffled. The column `n` is dropped.
+    """
+    share = max(1, rows // (4 * partitions(big.sparkSession)))
+    hot = F.broadcast(few.where(F.col(n) > share).drop(n))
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col(n) <= share).drop(n), key)
+    return big.join(hot, key).unionByName(rest)
+
+
 def range_cuts(df: DataFrame, column: str, parts: int) -> list:
     """At most parts - 1 ascending cut values that deal the non-null values of `column` about evenly.
 

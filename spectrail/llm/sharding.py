@@ -80,14 +80,14 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, with_t
     The text is left behind unless asked for; with it, texts are shuffled twice, without it no text is.
 
     The shards' counts are at most one apart, slots are gapless from 0 in each, and reruns agree but for the places of
-    equal rows among each other. Null texts have size 1 and the checksum of the empty text, and are linked with it. Columns of docs named like the new ones
-    are replaced.
-    Repeated rows each get a slot. An empty table gives an empty result.
+    equal rows among each other. Null texts have size 1 and the checksum of the empty text, and are linked with it. Columns of
+    docs named like the new ones are replaced, whatever their case; all others pass. Repeated rows each get a slot. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     own = [c for c in docs.columns if with_text or c != "text"]
-    rows = docs.select(*[docs[c] for c in own], (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).cast("long").alias("_crc"), F.xxhash64(text).alias("_hub"))
-    rows = rows.withColumn("_h", F.xxhash64("_hub", F.col("doc_id").cast("string")))
+    # The documents' columns travel as one, so that none clashes with those made here.
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).cast("long").alias("_crc"), F.xxhash64(text).alias("_hub"))
+    rows = rows.withColumn("_h", F.xxhash64("_hub", F.col("_row.doc_id").cast("string")))
     rows = rows.withColumns({"_first": F.pmod("_h", F.lit(shards)).cast("int"), "_salt": F.pmod(F.shiftright("_h", 20), F.lit(SALT)).cast("int")})
     rows = materialize(rows, "shard-rows")
     count = rows.count()
@@ -130,7 +130,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, with_t
     kept = _literal([held.get(s, 0) for s in range(shards)], F.col("shard")) - _literal(under_base, F.col("shard"))
     ranked = ranked.withColumn("slot", F.when(F.col("_surplus").isNull(), F.col("_rank")).otherwise(F.col("_surplus") + kept).cast("long"))
     made = {"size": "_size", "text_crc32": "_crc", "shard": "shard", "slot": "slot"}
-    return ranked.select(*[c for c in own if c not in made], *[F.col(c).alias(name) for name, c in made.items()])
+    return ranked.select(*[F.col("_row").getField(c).alias(c) for c in own if c.lower() not in made], *[F.col(c).alias(name) for name, c in made.items()])
 
 
 def write(docs: DataFrame, folder: str, **how) -> None:
@@ -139,8 +139,13 @@ def write(docs: DataFrame, folder: str, **how) -> None:
     placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
 
 
-def digest(placed: DataFrame) -> DataFrame:
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+DIGEST = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def digest(placed: DataFrame, *more: str) -> DataFrame:
+    """The columns DIGEST of sharded rows and `more` of theirs."""
+    made = {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
+    return placed.select(*[made[c].alias(c) if c in made else placed[c] for c in DIGEST], *[placed[c] for c in more])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
-"""SimHash near-duplicates.
-
-Fingerprints within `most` bits agree on some `r` of `most + r` blocks of bits. These masked patterns are the upper nodes
-of the index: fingerprints are dealt to tasks by mask and pattern, and below each such node a Gray-order index finds the
-links and prunes by accumulated differences. r grows with the number of different fingerprints, so the nodes stay small.
-A node that is too large for one task all the same is cut into runs in Gray order, and every pair of runs is a node.
+"""SimHash near-duplicates, found by a hierarchical index in Gray order.
+
+Fingerprints are sorted by Gray rank into a tree whose upper nodes hold the masked bit patterns that all below them share; a
+search adds up differences from these on the way down and drops whole groups (see gray_index). The tree is cut at its top so
+that tasks can work on parts of it: its first level are a few bits, taken at most + 1 places, which a pair within `most` bits
+must share at one of them. How many bits follows from the number of different fingerprints, so that a part holds about PART of
+them at every size, and every part, small or large, is searched by its own tree. A part too large for one task is cut into runs by
+a hash, and each pair of runs is searched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,18 +21,16 @@ from pyspark.sql import functions as F
 
 from spectrail.ship import ship
 
-from .common import materialize, partitions, small
+from .common import materialize, partitions, small, spread_join
 from .components import components
-from .gray_index import gray_rank, linked
+from .gray_index import linked
 from .tokens import slices
 
 WORDS = 4
 MOST = 4
 SEED = 42
-#: Fingerprints below one node that a task indexes at once.
-NODE = 200_000
-#: Up to so many different fingerprints the masks take 1, 2 or 3 blocks; above, 4.
-STEPS = (1_000_000, 1_000_000_000, 100_000_000_000)
+#: Fingerprints of a part, on average, and the most that a task indexes at once.
+PART, NODE = 16_384, 65_536
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -68,10 +69,18 @@ def fingerprints(docs: DataFrame, words: int = WORDS, *, marks: bool = False) ->
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "print"]))
 
 
-def masks(most: int, chosen: int) -> list[int]:
-    """All unions of `chosen` of `most + chosen` blocks of the 64 bits."""
-    edges = np.linspace(0, 64, most + chosen + 1).round().astype(int).tolist()
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+def masks(n: int, most: int = MOST, part: int = PART) -> list[int]:
+    """Bit masks such that any two of `n` words within `most` bits agree on one of them, and one value of a mask is shared by `part` words or fewer, if these are spread evenly.
+
+    The words are cut into most + r blocks, from which r are taken each time: whichever bits differ, r blocks are free of
+    them. r is the least that gives enough bits; up to `part` words need none, and are one part.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, n) / part)))
+    if not bits:
+        return [0]
+    chosen = next(r for r in range(1, 65) if r * (64 // (most + r)) >= bits or r == 60)
+    width = min(64 // (most + chosen), math.ceil(bits / chosen))
+    blocks = [((1 << width) - 1) << (i * (64 // (most + chosen))) for i in range(most + chosen)]
     return [sum(c) for c in combinations(blocks, chosen)]
 
 
@@ -79,18 +88,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(prints: DataFrame, n: int, most: int = MOST, node: int = NODE) -> DataFrame:
+def links(prints: DataFrame, n: int, most: int = MOST, node: int = NODE, part: int = PART) -> DataFrame:
     """(child, parent) edges that join the `n` different fingerprints of column print into their groups."""
     spark = prints.sparkSession
     ship(spark)
-    chosen = next((i + 1 for i, top in enumerate(STEPS) if n <= top), 4)
-    under = [F.struct(F.lit(i).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks(most, chosen))]
+    under = [F.struct(F.lit(i).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks(n, most, part))]
     dealt = prints.select("print", F.explode(F.array(*under)).alias("node")).select("node.*", "print")
     dealt = dealt.withColumns({"part": F.lit(0), "other": F.lit(0), "side": F.lit(0)})
     large = dealt.groupBy("mask", "pattern").agg(F.count("*").alias("rows")).where(F.col("rows") > node)
     large = materialize(large, "large-nodes")
     if many := large.count():
-        # Runs of such a node by a hash of the fingerprint; each pair of runs is dealt to a task of its own.
+        # Runs of such a part by a hash of the fingerprint; each pair of runs is dealt to a task of its own.
         large = large.select(F.col("mask").alias("m"), F.col("pattern").alias("p"), F.ceil(F.col("rows") * 2.0 / node).cast("int").alias("runs"))
         both = dealt.join(small(large, many), (F.col("mask") == F.col("m")) & (F.col("pattern") == F.col("p")), "left").drop("m", "p", "part", "other", "side")
         run = F.pmod(F.xxhash64("print"), F.col("runs")).cast("int")
@@ -98,7 +106,7 @@ def links(prints: DataFrame, n: int, most: int = MOST, node: int = NODE) -> Data
         alone = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("other"), F.lit(0).alias("side")))
         dealt = both.withColumn("to", F.explode(F.when(F.col("runs").isNull(), alone).otherwise(pairs))).select("mask", "pattern", "print", "to.*")
     keys = ["mask", "pattern", "part", "other"]
-    width = max(partitions(spark), len(under) * n // 2_000_000)
+    width = max(partitions(spark), len(under) * n // 500_000)
     dealt = dealt.repartition(width, *keys).sortWithinPartitions(*keys)
 
     def run_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,36 +145,38 @@ def links(prints: DataFrame, n: int, most: int = MOST, node: int = NODE) -> Data
     return dealt.select(*keys, "side", "print").mapInArrow(run_nodes, "child long, parent long").distinct()
 
 
-def _least(prints: DataFrame, of: Column, most: int, node: int) -> DataFrame:
-    """print and least (the smallest `of` among the rows of its component) of every different fingerprint."""
-    first = materialize(prints.groupBy("print").agg(F.min(of).alias("first")), "different-prints")
-    edges = links(first.select("print"), first.count(), most, node)
-    group = components(edges, "child", "parent")
-    whole = first.join(group.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = whole.groupBy("root").agg(F.min("first").alias("least"))
-    return whole.join(least, "root").select("print", "least")
+def _least(prints: DataFrame, of: Column, most: int, node: int, part: int) -> tuple[DataFrame, int]:
+    """print, least (the smallest `of` among the rows of its component) and rows (that have it) of every different fingerprint; the number of all rows."""
+    first = materialize(prints.groupBy("print").agg(F.min(of).alias("first"), F.count("*").alias("rows")), "different-prints")
+    count = first.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    group = components(links(first.select("print"), count.n, most, node, part), "child", "parent").withColumnRenamed("node", "print")
+    linked_ = materialize(first.join(group, "print"), "linked-prints")
+    least = materialize(linked_.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least-of-components")
+    tied = spread_join(linked_, linked_.count(), least, "root", "n").select("print", "least", "rows")
+    alone = first.join(linked_.select("print"), "print", "left_anti").select("print", F.col("first").alias("least"), "rows")
+    return tied.unionByName(alone), count.rows
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST, node: int = NODE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, most: int = MOST, node: int = NODE, part: int = PART) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document.
 
     Documents whose fingerprints differ in at most `most` bits are linked, and links are followed to the end. Null and
     empty texts have fingerprint zero and are linked like any other. Repeated rows each give a row; a null doc_id is
-    no component's smallest unless it has no other.
+    no component's smallest unless it has no other. An empty table gives an empty result; extra columns are left behind.
     """
     prints = materialize(fingerprints(docs, words), "prints")
-    ids = _least(prints, F.col("doc_id"), most, node).withColumnRenamed("least", "component_id")
-    out = prints.join(ids, "print")
+    ids, count = _least(prints, F.col("doc_id"), most, node, part)
+    out = spread_join(prints, count, materialize(ids.withColumnRenamed("least", "component_id"), "least"), "print", "rows")
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_of_each(docs: DataFrame, *, words: int = WORDS, most: int = MOST, node: int = NODE) -> DataFrame:
+def kept_of_each(docs: DataFrame, *, words: int = WORDS, most: int = MOST, node: int = NODE, part: int = PART) -> DataFrame:
     """doc_id, mark (xxhash64 of the text) and stays of every row: whether it is its component's row of the smallest id, and
     of that id's the smallest mark. A null doc_id comes last. Rows that repeat id and text all stay or all go."""
     prints = materialize(fingerprints(docs, words, marks=True), "prints")
-    ids = _least(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"), most, node)
+    ids, count = _least(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"), most, node, part)
     same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
-    return prints.join(ids, "print").select("doc_id", "mark", same.alias("stays"))
+    return spread_join(prints, count, materialize(ids, "least"), "print", "rows").select("doc_id", "mark", same.alias("stays"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

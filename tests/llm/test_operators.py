@@ -205,6 +205,9 @@ def test_simhash_odd(spark, odd):
     assert len(got) == odd.count() and {r.fingerprint for r in got if r.doc_id in (0, 1, 2, 3)} == {"0" * 16}
     assert all(r.component_id == 5 for r in got if r.doc_id == 5 and r.fingerprint == simhash_hex("Two words"))
     assert simhash.near_duplicates(odd.where("false")).count() == 0
+    many = spark.createDataFrame([(None, "same text of all these rows")] * 500 + [(i, f"own{i} text{i} of{i} row{i}") for i in range(300)], "doc_id long, text string")
+    got = simhash.near_duplicates(many).collect()
+    assert len(got) == 800 and sum(r.component_id is None for r in got) == 500 and all(r.component_id == r.doc_id for r in got)
 
 
 def simhash_hex(text):
@@ -254,14 +257,39 @@ def test_gray_rank_is_inverse():
     assert (gray_rank(n ^ (n >> np.uint64(1))) == n).all()
 
 
-def test_masks_cover_every_pair():
+@pytest.mark.parametrize(("n", "places", "bits"), [(16_384, 1, 0), (40_000, 5, 2), (60_000_000, 5, 12), (10_000_000_000, 15, 20), (10**12, 35, 26)])
+def test_masks_cover_every_pair(n, places, bits):
     rng = random.Random(2)
-    for chosen in (1, 2, 3, 4):
-        m = simhash.masks(4, chosen)
-        assert len(m) == math.comb(4 + chosen, chosen)
-        for _ in range(200):
-            d = sum(1 << b for b in rng.sample(range(64), 4))
-            assert any(d & x == 0 for x in m)
+    m = simhash.masks(n)
+    assert len(m) == places and {x.bit_count() >= bits for x in m} == {True} and max(m) < 1 << 64
+    for _ in range(200):
+        d = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(d & x == 0 for x in m)
+
+
+@pytest.mark.parametrize("node", [simhash.NODE, 900])
+def test_links_through_the_tree(spark, node):
+    """Parts of thousands of fingerprints, all searched by the index, against all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2)
+    near = x[:3000]
+    for _ in range(5):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64))
+    x = np.unique(np.concatenate([x, near]))
+    parent, tied = list(range(len(x))), set()
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= 4).tolist():
+            parent[find(parent, i)] = find(parent, i + 1 + j)
+            tied |= {i, i + 1 + j}
+    assert len(tied) > 500
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "print long")
+    got = components.components(simhash.links(df, len(x), node=node, part=2000), "child", "parent").collect()
+    place = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    assert {place[r.node] for r in got} == tied
+    roots = {}
+    for r in got:
+        roots.setdefault(find(parent, place[r.node]), set()).add(r.root)
+    assert all(len(v) == 1 for v in roots.values()) and len(set.union(*roots.values())) == len(roots)
 
 
 def test_components(spark):
