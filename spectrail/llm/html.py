@@ -15,7 +15,11 @@ from .tokens import slices
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page. A null or empty page has an empty text. No shuffle."""
+    """page_id, url, text and n_chars (code points) of every page. A null or empty page has an empty text. No shuffle.
+
+    Repeated rows each give a row, an empty table none; other columns are left behind. A page is read whole in one task, in time
+    proportional to its length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

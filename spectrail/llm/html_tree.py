@@ -1,11 +1,12 @@
 """A forgiving HTML reader and the scoring of its tree for the main text.
 
-The reader knows raw text elements, optional end tags and broken markup; it keeps text, tags and class words only.
+The reader knows raw text elements, optional end tags and broken markup; it keeps text, tags and what class, id and role say only.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 TAG = re.compile(r"""<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z!?][^>]*$""")
@@ -29,55 +30,124 @@ ENDED_BY = {
 #: What an optional end tag does not look beyond.
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
-#: Never part of an article.
+#: Never part of an article; a form around one, and a header with a heading in one, are let through.
 DROPPED = frozenset("nav header footer aside form fieldset button select option datalist label dialog menu head object embed applet svg canvas audio video map".split())
-#: Words of class, id and role that mark what is not the article.
-UNWANTED = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert "
-    "sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar header masthead footer foot "
-    "comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login "
-    "popup modal overlay complementary contentinfo search skip copyright legal disclaimer tags tagcloud trending".split()
+#: Words of class and id that mark what is not the article, if the name has no word beside them that means something else.
+CERTAIN = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo banner cookie cookies consent gdpr notice notices notification "
+    "sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer comment comments commentlist disqus "
+    "sharing newsletter subscribe subscription signup login popup modal overlay complementary contentinfo copyright disclaimer".split()
 )
-#: Of these, the words that count even beside a wanted word (an entry's header holds its title; a post's footer is none).
-SURELY = frozenset("ad ads advert advertisement sponsored promo banner cookie cookies consent notice sidebar nav navbar navigation menu footer comment comments commentlist reply related share sharing newsletter popup".split())
+#: Such words that an article's own parts may have too: they count where links prevail, or beside the page's article.
+DOUBTFUL = frozenset("alert discussion foot header legal promoted promotion rail recommended recommendations related replies reply respond search share skip social tagcloud tags trending".split())
 WANTED = frozenset("article body content entry main page post text blog story hentry articlebody".split())
+#: Words that mean nothing of their own in a name.
+NEUTRAL = frozenset(
+    "area bar block bottom box btn button buttons col column container elem element footer form global group holder icon icons inner item items layer left link links list lists module outer "
+    "panel posts primary region right row secondary section sections site slot stories thread title top unit wrap wrapper articles the and of user users visitor your us".split()
+)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+
+
+@lru_cache(100_000)
+def _name(token: str) -> tuple[int, bool]:
+    """What one class or id says: 2 certainly not the article, 1 in doubt, 0 nothing; and whether a word of it is wanted."""
+    words = {w.lower() for w in WORD.findall(token)}
+    wanted = bool(words & WANTED)
+    if words - CERTAIN - DOUBTFUL - NEUTRAL - WANTED:
+        return 0, wanted
+    return (2 if words & CERTAIN else 1 if words & DOUBTFUL else 0), wanted
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "hidden", "score")
+    """mark: see `_name`; gone: whether it and all below it can't be part of the article."""
+
+    __slots__ = ("tag", "parent", "children", "mark", "wanted", "gone", "score")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
-        self.words: frozenset[str] = frozenset()
-        self.hidden = False
-        self.score = 0.0
+        self.mark, self.wanted, self.score = 0, False, 0.0
+        self.gone = tag in RAW
 
 
 def _describe(node: Node, attributes: str) -> None:
-    found: list[str] = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE)):
-            node.hidden = True
-        elif name not in ("style", "aria-hidden"):
-            found += WORD.findall(value)
-    node.words = frozenset(w.lower() for w in found)
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
+            node.gone = True
+        elif name == "role":
+            node.mark = 2 if value.strip().lower() in ROLES else node.mark
+        elif name in ("class", "id"):
+            if name == "id" and (node.tag in HEADINGS or node.tag == "p"):
+                continue  # an anchor made from what it says
+            for token in value.split():
+                mark, wanted = _name(token)
+                node.mark = max(node.mark, min(mark, 1) if name == "id" and node.tag == "section" else mark)
+                node.wanted = node.wanted or wanted
+
+
+class _Open:
+    """The open elements, with the places of those of each name and of those that are blocks."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at `place` and all within it."""
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the innermost element of its name, unless that is inline and a block lies within; stray ones say nothing."""
+        places = self.places.get(name)
+        if places and (name in BLOCK or not self.blocks or self.blocks[-1] < places[-1]):
+            self.cut(places[-1])
+
+    def begin(self, name: str) -> Node:
+        """Closes what a new element of this name ends, and gives its parent. An open p, or item of the new one's kind, may lie above inline elements that were left open."""
+        while name in ENDED_BY.get(self.nodes[-1].tag, ()):
+            self.cut(len(self.nodes) - 1)
+        if name in BLOCK:
+            stop, ended = SCOPE.get(name, ()), None
+            for place in reversed(self.blocks):
+                tag = self.nodes[place].tag
+                if tag in stop:
+                    break
+                if name in ENDED_BY.get(tag, ()):
+                    ended = place
+                elif tag not in ENDED_BY:
+                    break
+            if ended is not None:
+                self.cut(ended)
+        return self.nodes[-1]
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; ends that are missing are put where a browser would."""
+    """The tree of a page; ends that are missing are put where a browser would. Its time is in proportion to the page, however deep."""
     root = Node("#root", None)
-    at = root
+    open_ = _Open(root)
     pos, size = 0, len(html)
     while pos < size:
         m = TAG.search(html, pos)
         if m is None:
-            at.children.append(html[pos:])
+            open_.nodes[-1].children.append(html[pos:])
             break
         if m.start() > pos:
-            at.children.append(html[pos : m.start()])
+            open_.nodes[-1].children.append(html[pos : m.start()])
         pos = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -86,47 +156,59 @@ def parse(html: str) -> Node:
                 pos = size if end < 0 else end + 3
             continue
         name = name.lower()
-        if m[1] or m[4]:  # an end tag
-            node, crossed = at, False
-            while node is not root and node.tag != name:
-                crossed = crossed or node.tag in BLOCK
-                node = node.parent
-            if node is not root and (name in BLOCK or not crossed):
-                at = node.parent
+        if m[1] or m[4]:
+            open_.end(name)
             continue
-        while (ends := ENDED_BY.get(at.tag)) is not None and name in ends:
-            at = at.parent
-        if name in BLOCK:
-            # An open p, or item of its own kind, may lie above inline elements that were left open.
-            node, stop = at, SCOPE.get(name, ())
-            while node is not root and node.tag not in stop:
-                if name in ENDED_BY.get(node.tag, ()):
-                    at = node.parent
-                elif node.tag in BLOCK and node.tag not in ENDED_BY:
-                    break
-                node = node.parent
-        node = Node(name, at)
+        parent = open_.begin(name)
+        node = Node(name, parent)
         if attributes := m[3] or m[6]:
             _describe(node, attributes)
-        at.children.append(node)
+        parent.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(html, pos)
             pos = size if end is None else end.end()
         elif name not in VOID and not (attributes and attributes.endswith("/") and name not in BLOCK):
-            at = node
+            open_.push(node)
+    _judge(root)
     return root
 
 
+def _judge(root: Node) -> None:
+    """Sets `gone` where an element can't be part of the article: by its name, by what its class or id says, by its links."""
+    order, stack = [], [(root, False, False)]
+    inside: dict[int, tuple[bool, bool]] = {}
+    while stack:
+        node, main, article = stack.pop()
+        order.append(node)
+        inside[id(node)] = main, article
+        if node.mark < 2 and node.tag in ("article", "main"):
+            main, article = True, article or node.tag == "article"
+        stack.extend((c, main, article) for c in node.children if not isinstance(c, str))
+    size: dict[int, tuple[int, int, bool, bool]] = {}  # characters, those in links, whether it has a heading, and an article
+    for node in reversed(order):
+        own, linked, heading, article = 0, 0, node.tag in HEADINGS, node.mark < 2 and node.tag in ("article", "main")
+        for c in node.children:
+            if isinstance(c, str):
+                own += len(c.strip())
+            elif c.tag not in RAW:
+                x = size[id(c)]
+                own, linked, heading, article = own + x[0], linked + x[1], heading or x[2], article or x[3]
+        size[id(node)] = own, own if node.tag == "a" else linked, heading, article
+    some = size[id(root)][3]
+    for node in order:
+        own, linked, heading, holds = size[id(node)]
+        main, article = inside[id(node)]
+        if node.tag in DROPPED and not (node.tag == "form" and holds) and not (node.tag == "header" and article and heading):
+            node.gone = True
+        elif node.tag in ("main", "body", "html", "#root") or (holds and (node.tag != "article" or node.mark < 2)):
+            continue
+        elif node.mark == 2 or (node.mark == 1 and (3 * linked > own or (some and not main))):
+            node.gone = True
+
+
 def unwanted(node: Node) -> bool:
     """Whether an element and all below it can't be part of the article."""
-    if node.tag in DROPPED or node.tag in RAW or node.hidden:
-        return True
-    found = node.words & UNWANTED
-    if not found or node.tag in ("main", "body", "html"):
-        return False
-    if node.tag == "article" or node.words & WANTED:
-        return bool(found & SURELY)
-    return True
+    return node.gone
 
 
 def _measure(root: Node) -> tuple[dict[int, tuple[int, int]], list[Node]]:
@@ -135,7 +217,7 @@ def _measure(root: Node) -> tuple[dict[int, tuple[int, int]], list[Node]]:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not unwanted(c))
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.gone)
     size: dict[int, tuple[int, int]] = {}
     for node in reversed(order):
         own = linked = 0
@@ -194,7 +276,7 @@ def best(root: Node) -> list[Node | str | None]:
 
     def final(node: Node) -> float:
         all_, linked = size[id(node)]
-        bonus = START.get(node.tag, 0.0) + (25.0 if node.words & WANTED else 0.0)
+        bonus = START.get(node.tag, 0.0) + (25.0 if node.wanted else 0.0) - 25.0 * (node.mark == 1)
         return (node.score + bonus) * (1 - linked / max(1, all_))
 
     top = max(scored.values(), key=final)

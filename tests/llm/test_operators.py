@@ -4,6 +4,7 @@ import functools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -578,6 +579,65 @@ def test_html_keeps_what_is_beside_a_long_section():
     assert main_text("<body><main><p>One, two, three.</p></main><p>Beside.</p></body>") == "One, two, three.\nBeside."
 
 
+def test_html_class_and_id_words_need_evidence():
+    """A word of an article's own name, an anchor, or a section about comments is no sign of boilerplate."""
+    lines = [f"Paragraph {i}, one, two, three, four, five." for i in range(8)]
+    text = "".join(f"<p>{x}</p>" for x in lines)
+    for name in ("class='legal-analysis'", "class='search-engine-history'", "class='tags-explained'", "id='discussion'", "id='related-work'", "class=legal", "id=search", "id='notice'", "class='alert'"):
+        page = f"<body><article><h1>T</h1><p>Lead, in, here.</p><section {name}>{text}</section></article><div class='legal'>All, rights, here.</div></body>"
+        assert main_text(page) == "\n".join(["T", "Lead, in, here.", *lines]), name
+    page = "<article><h2 id='comments'>On comments</h2><p id='footer'>Foot, of the page.</p><header><h1>Title</h1></header><div class=related><a href=a>Link one</a> <a href=b>Link two</a></div></article>"
+    assert main_text(page) == "On comments\nFoot, of the page.\nTitle"
+    assert main_text("<body class='has-sidebar'><form id=page><div class='layout sidebar'><main><p>Body, of text.</p></main></div></form></body>") == "Body, of text."
+
+
+BOILERPLATE = [
+    "<nav><a href=a>Home</a> <a href=b>News</a></nav>", "<div class='ad'>Buy, cheap, things, now, here.</div>", "<div class='cookie-notice'>We use cookies, accept, them, all.</div>",
+    "<aside><p>Side, text, of, some, length.</p></aside>", "<script>var x = '<p>no</p>';</script>", "<style>p{}</style>", "<form><p>Your mail, please.</p><input></form>",
+    "<div id='sidebar-left'><p>More, to, read, here.</p></div>", "<ul class='breadcrumbs'><li><a href=x>Up</a></ul>", "<div class='advertisement box'>Ad, ad, ad.</div>", "<!-- <p>none</p> -->",
+    "<div class='newsletter'>Subscribe, to, this.</div>", "<div hidden>Hidden, text.</div>", "<noscript>No script.</noscript>",
+]
+
+
+def article_parts(rng):
+    """(markup, blocks) of a random article."""
+    words = lambda: " ".join(rng.choice("wall river, stone light, seven green over night".split()) for _ in range(rng.randint(4, 30))) + "."
+    out, want = "", []
+    for _ in range(rng.randint(6, 20)):
+        a, b = words(), words()
+        kind = rng.randrange(9)
+        head, body = ("<h2>" + a + "</h2>", [a]) if rng.random() < 0.3 else ("", [])
+        part = [
+            (f"<p>{a}</p>", [a]), (f"<p>{a} <i>it</i> {b}\n", [f"{a} it {b}"]), (f"<ul><li>{a}<li>{b}</ul>", [a, b]), (f"<blockquote><p>{a}</p></blockquote>", [a]), (f"<pre>{a}</pre>", [a]),
+            (f"<table><tr><td>{a}</td><td>{b}</td></tr></table>", [a, b]), (f"<figure><img src=x><figcaption>{a}</figcaption></figure>", [a]), (f"<dl><dt>{a}<dd>{b}</dl>", [a, b]),
+            (f"<section id='search'>{head}<p>{b}</p></section>", [*body, b]),
+        ][kind]
+        out, want = out + part[0], want + part[1]
+    return out, want
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<main><article><h1>Top</h1>{}</article></main>", "<div class='post-content'>{}</div>", "<div id=page><div><div class=entry>{}</div></div></div>"])
+def test_html_against_known_pages(wrap):
+    """Articles of known blocks between known boilerplate: the text is exactly the blocks."""
+    rng = random.Random(wrap)
+    for _ in range(60):
+        inner, want = article_parts(rng)
+        if rng.random() < 0.5:
+            inner = rng.choice(BOILERPLATE) + inner
+        around = [rng.choice(BOILERPLATE) for _ in range(rng.randint(0, 4))]
+        comments = "<section class='comments'><article class='comment'><p>Great, post, I, like, it.</p></article></section>"
+        page = "<html><body><header><h1>Site</h1><a href=a>x</a></header>" + "".join(around) + wrap.format(inner + rng.choice(BOILERPLATE)) + comments + rng.choice(BOILERPLATE) + "<footer>All, rights, ours.</footer></body></html>"
+        assert main_text(page).split("\n") == ["Top"] * ("Top" in wrap) + want, page
+
+
+def test_html_deep_nesting_takes_linear_time():
+    n = 50_000
+    for page in ("<b>" * n + "<p>x" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<p>x" + "</em>" * n + "<li>" * n, "<span><p>" * n, "<div>" * n + "deep" + "</div>" * n, "<td><li>" * n):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 20
+
+
 # -- op9
 
 
