@@ -21,11 +21,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from spectrail.ship import ship
 
 from .bigru import GRAMS, WINDOW, Adam, Network, Scorer, grams, starts, words
-from .common import small
+from .common import materialize, small
 from .tokens import slices
 
 #: The classifier is fitted on at most so many toxic and so many clean documents, chosen by a hash of doc_id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 2400
+#: Their texts have at most so many bytes, all together, of either kind; a document that would pass this is not sampled.
+SAMPLE_BYTES = 16_000_000
 #: Training takes `STEPS` batches, dealt over at least EPOCHS epochs.
 STEPS, EPOCHS, BATCH, RATE = 600, 8, 64, 0.01
 #: Windows that a toxic document gives at most, if they count at least half as much as its best one.
@@ -147,14 +149,31 @@ def _calibrate(best: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(a), float(b - a * mid)
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from, none held out: bounded by `toxic` and `clean`."""
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE, size: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from, none held out: bounded by `toxic` and `clean` documents and `size` bytes of either kind.
+
+    Documents are taken whole, in order of a hash of their doc_id. Of texts that share a doc_id that of the smallest hash is
+    taken. The driver sees lengths first, at most one for each document, and then the texts of those that fit.
+    """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).distinct()
-    mark = F.xxhash64("doc_id", F.lit(1))
-    picked = own.where("toxic = 1").orderBy(mark, "doc_id").limit(toxic).unionByName(own.where("toxic = 0").orderBy(mark, "doc_id").limit(clean))
-    rows = docs.select("doc_id", "text").join(small(picked, toxic + clean), "doc_id").where("text is not null").dropDuplicates(["doc_id", "toxic"]).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic))
-    return [r.text for r in rows], [r.toxic for r in rows]
+    order = F.xxhash64("doc_id", F.lit(1))
+    picked = own.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(own.where("toxic = 0").orderBy(order, "doc_id").limit(clean))
+    picked = materialize(picked.withColumn("place", order), "sample")
+    mark = F.xxhash64("text")
+    found = docs.select("doc_id", "text").where("text is not null").join(small(picked, toxic + clean), "doc_id")
+    least = found.groupBy("doc_id", "toxic", "place").agg(F.min(F.struct(mark.alias("mark"), F.octet_length("text").alias("bytes"))).alias("x"))
+    held, fits = {0: 0, 1: 0}, []
+    for r in sorted(least.select("doc_id", "toxic", "place", "x.*").collect(), key=lambda r: (r.place, r.doc_id)):
+        if held[r.toxic] + r.bytes <= size:
+            held[r.toxic] += r.bytes
+            fits.append((r.doc_id, r.toxic, r.mark))
+    if not fits:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame(fits, "doc_id long, toxic int, mark long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted.select("doc_id", "mark").distinct()), "doc_id").where(F.col("mark") == F.xxhash64("text"))
+    texts = {r.doc_id: r.text for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    fits = sorted((d, y) for d, y, _ in fits)
+    return [texts[d] for d, _ in fits], [y for _, y in fits]
 
 
 def classify(docs: DataFrame, network: Network | None, *, score: str = "score", predicted: str = "predicted") -> DataFrame:
