@@ -1,19 +1,26 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text's words give rolling hashes of k words each; of every window of w consecutive hashes the smallest is kept, the
-rightmost of equal ones, with its position. So two texts that share a run of w + k - 1 words share a kept hash.
+A text's words give rolling hashes of k words each: polynomials in BASE modulo PRIME, each of which follows from the one before
+it, less the word that leaves, times BASE, plus the word that comes. Spark has no running fold over an array, so all are
+taken from the polynomial at once, which gives the values that rolling gives. Of every window of w consecutive hashes the
+smallest is kept, the rightmost of equal ones, with its position. So two texts that share a run of w + k - 1 words share a kept hash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import partitions, range_bucket, range_cuts
+from .common import fresh, parts_of, struct_bucket, struct_cuts
 from .secrets import _let
 
 K = 5
 W = 6
+#: The largest prime below 2^30: k terms below 2^60 stay within 64 bits. BASE is any number below it.
+PRIME, BASE = 1_073_741_789, 742_938_285
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -21,14 +28,18 @@ def kept(text: Column, k: int = K, w: int = W) -> Column:
     """struct<pos: array<int>, hash: array<int>>: the kept hashes of a text and the words at which they begin.
 
     A text of fewer than k words has the hash of all its words; one without words has none; of fewer than w hashes the
-    smallest is kept.
+    smallest is kept. k is at most 8.
     """
 
     def grams(h: Column) -> Column:
         n = F.size(h)
-        rolled = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.hash(*[F.get(h, i + j) for j in range(k)]))
-        whole = F.array(F.hash(h))
-        return F.when(n >= k, rolled).when(n > 0, whole).otherwise(F.array().cast("array<int>"))
+
+        def at(i: Column) -> Column:
+            terms = [F.get(h, i + j) * F.lit(pow(BASE, k - 1 - j, PRIME)).cast("long") for j in range(k)]
+            return (reduce(Column.__add__, terms) % F.lit(PRIME)).cast("int")
+
+        whole = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASE).cast("long") + x) % F.lit(PRIME))
+        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), at)).when(n > 0, F.array(whole.cast("int"))).otherwise(F.array().cast("array<int>"))
 
     def chosen(h: Column) -> Column:
         n = F.size(h)
@@ -51,7 +62,7 @@ def kept(text: Column, k: int = K, w: int = W) -> Column:
         return F.when(n > w, many).when(n > 0, one).otherwise(F.array().cast("array<int>"))
 
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
-    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    hashes = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))
     result = lambda h: _let(chosen(h), lambda p: F.struct(p.alias("pos"), F.transform(p, lambda i: F.get(h, i)).alias("hash")))
     return _let(hashes, lambda x: _let(grams(x), result))
 
@@ -71,28 +82,28 @@ def with_next(rows: DataFrame, key: str, carried: list[str], derived: dict[str,
     """Each row with next_<c> of the carried columns: those of the row with the next smaller key (null last; the last row has
     the first's). The derived columns are computed behind the shuffle, so they add nothing to it, and get a next_<c> as well.
 
-    Keys are dealt by ranges; the first row of each range is also put behind the range before it. Rows that repeat a key
-    follow by a hash of what is carried.
+    Rows that repeat a key follow by a hash of what is carried, and equal rows by their place in the table, so that a key or a row
+    that many share is dealt over ranges like any other. Rows are dealt by ranges of (key, hash, place); the first row of each
+    range is also put behind the range before it. The table must give equal rows in the same places each time it is read, as files
+    do. An empty table gives an empty result; the other columns pass.
     """
-    cuts = range_cuts(rows, key, 4 * partitions(rows.sparkSession))
-    # Range 0 has the largest keys; null keys, in a range of their own, come last.
-    rows = rows.withColumn("_range", F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(len(cuts) - range_bucket(key, cuts)))
-    order = [F.col(key).desc_nulls_last(), F.xxhash64(*carried)]
-    heads = rows.groupBy("_range").agg(F.max(key).alias("_key"))
-    used = sorted((r["_range"], r["_key"]) for r in heads.collect())  # one number a range
-    if not used:
-        used = [(0, None)]
-    before = {r: used[i - 1][0] for i, (r, _) in enumerate(used)}
-    first = [F.struct(F.lit(r).alias("_range"), F.lit(before[r]).alias("_to")) for r, _ in used]
-    to = F.map_from_entries(F.array(*[F.struct(s["_range"], s["_to"]) for s in first]))
-    top = F.map_from_entries(F.array(*[F.struct(F.lit(r), F.lit(k).cast(rows.schema[key].dataType)) for r, k in used]))
-    guards = rows.where(F.col(key).eqNullSafe(F.element_at(top, F.col("_range"))))
-    guards = guards.groupBy("_range").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*carried)).alias("g")).select("g.*")
-    guards = guards.withColumn("_range", F.element_at(to, F.col("_range"))).withColumn("_guard", F.lit(True))
-    both = rows.withColumn("_guard", F.lit(False)).unionByName(guards)
-    w = Window.partitionBy("_range").orderBy("_guard", *order)
+    spark = rows.sparkSession
+    at, where, last, guard = fresh(rows.columns, "at", "range", "last", "guard")
+    rows = rows.withColumn(at, F.struct(F.col(key).alias("k"), F.xxhash64(*carried).alias("h"), F.monotonically_increasing_id().alias("i")))
+    cuts = struct_cuts(rows.select(at), at, parts_of(rows))
+    # Range 0 has the largest keys; null is the smallest.
+    rows = rows.withColumn(where, len(cuts) - struct_bucket(F.col(at), cuts, rows.schema[at].dataType))
+    heads = rows.groupBy(where).agg(F.max(at).alias(at)).collect()  # one key a range
+    used = sorted(r[where] for r in heads)
+    tops = [(r[at].k, r[at].h, used[used.index(r[where]) - 1]) for r in heads]
+    tops = F.broadcast(spark.createDataFrame(tops, StructType([rows.schema[at].dataType["k"], StructField("h", LongType()), StructField(last, IntegerType())])))
+    guards = rows.join(tops, F.col(f"{at}.k").eqNullSafe(tops["k"]) & (F.col(f"{at}.h") == tops["h"]))
+    guards = guards.groupBy(last).agg(F.min_by(F.struct(*[rows[c] for c in rows.columns]), F.col(f"{at}.i")).alias(guard))
+    guards = guards.select(*[F.col(guard).getField(c).alias(c) if c != where else F.col(last).alias(c) for c in rows.columns]).withColumn(guard, F.lit(True))
+    both = rows.withColumn(guard, F.lit(False)).unionByName(guards)
+    w = Window.partitionBy(where).orderBy(guard, F.col(at).desc())
     both = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried}).withColumns(derived)
-    return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in derived}).where(~F.col("_guard")).drop("_guard", "_range")
+    return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in derived}).where(~F.col(guard)).drop(guard, where, at)
 
 
 def fingerprint(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
@@ -101,7 +112,11 @@ def fingerprint(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
 
 def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """doc_id, n_chars, edited, prints, edited_prints, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited, prints, edited_prints, near_edited, near_next of every document.
+
+    Null texts count as empty; repeated rows each give a row, and one follows the other. The only document is its own next one. An
+    empty table gives an empty result; other columns are left behind.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(rows, "doc_id", ["text"], {"prints": kept(F.col("text"), k, w)})
     n = F.length("text")

@@ -707,6 +707,57 @@ def test_training_sees_every_window_of_a_long_text():
     assert len(toxicity._windows("")) == 0 and list(toxicity._windows("a b")) == [[b"a", b"b"]]
 
 
+def test_sample_is_bounded_by_bytes_and_takes_whole_texts(spark):
+    ids = [i for i in range(60) if not toxicity.crc_held_out(i)]
+    docs = spark.createDataFrame([(i, f"d{i} " + "x" * (5000 if i % 5 == 0 else 50), "clash") for i in ids] + [(ids[0], "other text", "clash")], "doc_id int, text string, mark string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id int, toxic int")
+    texts, ys = toxicity.sample(docs, labels, size=1500)
+    assert 10 < len(texts) and all(sum(len(t) for t, y in zip(texts, ys, strict=True) if y == k) <= 1500 for k in (0, 1)) and max(map(len, texts)) < 100
+    whole, _ = toxicity.sample(docs, labels)
+    assert len(whole) == len(ids) and {t.split()[0] for t in whole} | {"other", f"d{ids[0]}"} == {f"d{i}" for i in ids} | {"other"}
+    assert toxicity.sample(docs.repartition(7), labels) == toxicity.sample(docs.coalesce(1), labels)
+
+
+def plain_logit(net, found):
+    """One window's logit, word by word as the equations have it."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    x = []
+    for w in found:
+        marked, numbers = b"\x01" + w + b"\x02", []
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h ^ c) * 0x9E3779B97F4A7C15 % 2**64
+                numbers.append(h >> 50)
+        chars = np.mean([net.p["grams"][i] for i in numbers], axis=0) if numbers else np.zeros(bigru.CHAR_DIM)
+        x.append(np.concatenate([net.p["words"][net.vocabulary.get(w, 0)], chars]).astype(float))
+    states = np.zeros((len(x), 2 * bigru.HIDDEN))
+    for way in (0, 1):
+        h, n = np.zeros(bigru.HIDDEN), bigru.HIDDEN
+        for at in range(len(x)) if way == 0 else reversed(range(len(x))):
+            a, b = x[at] @ net.p["Wx"][way] + net.p["b"][way], h @ net.p["U"][way]
+            z, r = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+            c = np.tanh(a[2 * n :] + r * b[2 * n :])
+            h = (1 - z) * c + z * h
+            states[at, way * n : (way + 1) * n] = h
+    e = np.array([np.tanh(s @ net.p["Wa"] + net.p["ba"]) @ net.p["va"] for s in states])
+    w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return float((w[:, None] * states).sum(axis=0) @ net.p["wo"] + net.p["bo"][0])
+
+
+def test_scores_against_a_plain_pass_over_every_window(spark, network, rows):
+    texts = [r[1] or "" for r in rows[:25]] + ["", "One word's", "!!", "é ü " * 40, "x" * 300, " ".join(f"w{i} bad{i % 3}" for i in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, network).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(rb"[a-z0-9'\x80-\xff]+", t.encode().lower())
+        begins = sorted({*range(0, max(1, len(w) - 32), 24), max(0, len(w) - 32)})
+        best = max((plain_logit(network, w[b : b + 32]) for b in begins if w), default=None)
+        want = 0.0 if best is None else 1 / (1 + math.exp(-(network.scale * best + network.shift)))
+        assert abs(got[i] - want) < 1e-4, t[:80]
+
+
 def test_toxicity_odd(spark, odd, network):
     got = toxicity.classify(odd, network)
     rows = got.collect()
@@ -727,24 +778,30 @@ def test_held_out_rows_are_not_learnt_from(spark):
 # -- op10
 
 
-def test_winnowing(spark, docs, rows):
-    got = winnowing.fingerprint(docs).select("doc_id", "prints").collect()
-    grams = docs.select("doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), winnowing.SPACE), "").alias("w"))
-    h = F.transform("w", lambda x: F.xxhash64(x))
-    many = F.when(F.size("w") >= winnowing.K, F.transform(F.sequence(F.lit(0), F.size("w") - winnowing.K), lambda i: F.hash(*[F.get(h, i + j) for j in range(winnowing.K)])))
-    values = {r.doc_id: r.v for r in grams.select("doc_id", many.alias("v"), "w").collect()}
-    words = {r.doc_id: r.w for r in grams.collect()}
-    for r in got:
-        v = values[r.doc_id]
-        if v is None:
-            assert r.prints.pos == ([0] if words[r.doc_id] else [])
-            continue
-        want = set()
-        for s in range(max(1, len(v) - winnowing.W + 1)):
+def rolled(found):
+    """The hashes of a text's k-grams, rolled: each from the one before it, the word that leaves and the word that comes."""
+    import xxhash
+
+    k, base, prime = winnowing.K, winnowing.BASE, winnowing.PRIME
+    x = [((v - (1 << 64)) if (v := xxhash.xxh64_intdigest(w.encode(), 42)) >> 63 else v) % prime for w in found]
+    h, out = 0, []
+    for i, v in enumerate(x):
+        if i >= k:
+            h = (h - x[i - k] * pow(base, k - 1, prime)) % prime
+        h = (h * base + v) % prime
+        if i >= k - 1:
+            out.append(h)
+    return out or ([h] if x else [])
+
+
+def test_winnowing(docs, rows):
+    got = {r.doc_id: r.prints for r in winnowing.fingerprint(docs).select("doc_id", "prints").collect()}
+    for d, t, *_ in rows:
+        v, want = rolled(WORD.findall(t or "")), set()
+        for s in range(max(1, len(v) - winnowing.W + 1)) if v else ():
             part = v[s : s + winnowing.W]
             want.add(s + max(i for i, x in enumerate(part) if x == min(part)))
-        assert r.prints.pos == sorted(want) and r.prints.hash == [v[i] for i in sorted(want)]
-    assert {d: WORD.findall(t or "") for d, t, *_ in rows} == words
+        assert got[d].pos == sorted(want) and got[d].hash == [v[i] for i in sorted(want)]
 
 
 def test_winnowing_guarantee(spark):
