@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from spectrail.ship import ship
 
-from .common import materialize, small
+from .common import fresh, materialize, small
 from .fm_index import FmIndex
 from .tokens import slices
 
 WINDOW = 10
-#: Benchmark text in bytes whose windows go to the executors at once; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 32_000_000
+#: Benchmark words whose windows go to the executors at once; a larger benchmark, or a longer item, is searched in several blocks.
+BLOCK_WORDS = 500_000
 #: A shard is indexed when it holds this many documents or this many words of the benchmark.
 SHARD_DOCS, SHARD_WORDS = 20_000, 2_000_000
 
@@ -44,29 +44,44 @@ def _null_last(item: str | None) -> tuple[bool, str]:
 
 
 class Windows:
-    """The different windows of some benchmark items as word numbers, by length, and the items that have each."""
+    """The different windows of some benchmark items as word numbers, by length, and the items that have each.
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW) -> None:
+    groups: (length, windows, where each window's items begin in owners, owners); owners are places in names.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = {}
-        for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        lengths = sorted({len(w) for w in found})
-        self.shortest = lengths[0] if lengths else 0
-        self.groups = [(n, np.array([w for w in found if len(w) == n], np.int64), [sorted(found[w], key=_null_last) for w in found if len(w) == n]) for n in lengths]
+        self.names = sorted({item for item, _ in items}, key=_null_last)
+        place = {item: i for i, item in enumerate(self.names)}
+        found: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for item, w in items:
+            if w:
+                n = min(window, len(w))
+                ids = np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], np.int32)
+                cut = np.lib.stride_tricks.sliding_window_view(ids, n)
+                rows, owners = found.setdefault(n, ([], []))
+                rows.append(cut)
+                owners.append(np.full(len(cut), place[item], np.int32))
+        self.shortest = min(found, default=0)
+        self.groups = []
+        for n in sorted(found):
+            rows, which = np.unique(np.concatenate(found[n][0]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate(found[n][1])], 1), axis=0)
+            self.groups.append((n, rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1].astype(np.int32)))
 
 
 def _blocks(benchmark: DataFrame, window: int, size: int) -> Iterator[Windows]:
-    """The items in blocks of about `size` bytes of text; at least one block, though it be empty."""
+    """The items in blocks of about `size` words; a longer item is cut into pieces that share window - 1 words. At least one block, though it be empty."""
     held, used, first = [], 0, True
+    step = max(1, size - window + 1)
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
-        held.append((row.i, row.t))
-        used += len(row.t.encode())
-        if used >= size:
-            yield Windows(held, window)
-            held, used, first = [], 0, False
+        w = words(row.t)
+        for at in range(0, max(1, len(w) - window + 1), step):
+            held.append((row.i, w[at : at + step + window - 1]))
+            used += len(held[-1][1])
+            if used >= size:
+                yield Windows(held, window)
+                held, used, first = [], 0, False
     if held or first:
         yield Windows(held, window)
 
@@ -116,7 +131,7 @@ class _Shard:
             seq[np.repeat(place, size) + np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
             index = FmIndex(seq, len(self.w.number) + 1)
             spans, pairs = [], set()
-            for n, patterns, items in self.w.groups:
+            for n, patterns, of, owners in self.w.groups:
                 row, low, high = index.search(patterns)
                 which, at = index.locate(low, high)
                 segment = np.searchsorted(place, at, side="right") - 1
@@ -124,15 +139,15 @@ class _Shard:
                 begin = word[segment] + at - place[segment]
                 spans.append(np.stack([where, begin, begin + n], 1))
                 for d, r in np.unique(np.stack([where, row[which]], 1), axis=0).tolist() if len(at) else ():
-                    pairs.update((d, item) for item in items[r])
+                    pairs.update((d, i) for i in owners[of[r] : of[r + 1]].tolist())
             for d, begin, end in np.unique(np.concatenate(spans), axis=0).tolist():
                 own = hits.setdefault(d, ([], []))[0]
                 if own and begin <= own[-1][1]:
                     own[-1] = (own[-1][0], max(end, own[-1][1]))
                 else:
                     own.append((begin, end))
-            for d, item in sorted(pairs, key=lambda x: (x[0], *_null_last(x[1]))):
-                hits[d][1].append(item)
+            for d, i in sorted(pairs):
+                hits[d][1].append(self.w.names[i])
         return counts, hits
 
 
@@ -182,16 +197,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, mark (xxhash64 of the text), n_words, n_hit, spans (in words, end exclusive, merged) and items of every document.
 
     docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no words; items without words have no
     windows; an item shorter than the window is one window. One null at the end of items stands for all found items without
-    id. Repeated rows each give a row. The windows of a block of the benchmark are broadcast, at most about `block_bytes` of
-    text; a larger benchmark is searched block by block and the blocks' spans are merged by document.
+    id. Repeated rows each give a row, empty tables none; other columns are left behind. The windows of a block of the benchmark are
+    broadcast, about `block_words` of them; a larger benchmark is searched block by block and the blocks' spans are merged by document.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    blocks = _blocks(benchmark, window, block_bytes)
+    blocks = _blocks(benchmark, window, block_words)
     first, second = next(blocks), next(blocks, None)
     found = _search(rows, first)
     if second is not None:
@@ -214,9 +229,10 @@ def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Only documents with spans travel to Python; the others are joined by (doc_id, text) to nothing and pass as they are.
     """
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_m"])
+    d, m, spans = fresh(docs.columns, "hit_doc", "hit_mark", "hit_spans")
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias(d), F.col("mark").alias(m), F.col("spans").alias(spans)).dropDuplicates([d, m])
     hit = materialize(hit, "spans")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_m"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(m))
     rows = docs.join(small(hit, hit.count()), same, "left")
 
     @F.pandas_udf("string")
@@ -224,8 +240,8 @@ def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
         return pd.Series([without(t, [(s["start"], s["end"]) for s in own]) for t, own in zip(text, spans, strict=True)])
 
     ship(docs.sparkSession)
-    clean = rows.where("_d IS NULL AND _spans IS NULL").select(*docs.columns)
-    dirty = rows.where("_spans IS NOT NULL").withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    clean = rows.where(F.col(spans).isNull()).select(*docs.columns)
+    dirty = rows.where(F.col(spans).isNotNull()).withColumn("text", cut("text", spans)).select(*docs.columns)
     return clean.unionByName(dirty)
 
 
