@@ -5,8 +5,9 @@ A data set is a folder with three files for each partition, all little-endian, a
                      vocabulary has more than 65,536 ids
     part-NNNNN.off   where each document begins in them, then their number, unsigned 64-bit integers
     part-NNNNN.doc   the doc_ids, signed 64-bit integers (the smallest of all stands for null)
-Partitions hold ascending ranges of doc_id and are sorted, so the files in order of their names are one long sequence.
-Where a partition begins in it follows from the sums of the sizes before it.
+Partitions hold ascending ranges of (doc_id, text hash, place in the table) and are sorted, so the files in order of their names
+are one long sequence, and a doc_id or row that many share is dealt over several of them. Where a partition begins in the
+sequence follows from the sums of the sizes before it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spectrail.ship import ship
 
-from .common import new_dir, partitions, range_bucket, range_cuts
+from .common import new_dir, parts_of, struct_bucket, struct_cuts
 from .tokens import Encoder, kept, kind_for, slices, tokenizer_path, vocabulary_size
 
 END_ID = 0
@@ -72,14 +73,18 @@ def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, end_id:
 
     Gives (partition, documents, ids) of the partitions in order; that list, one entry a partition, is all the driver
     gets. Null and empty texts have the end id alone. Rows that repeat a doc_id are kept, ordered by a hash of the text.
+    An empty table gives no files; other columns are left behind. Without `parts` there is one for each 128 MB of input, and
+    at least spark.sql.shuffle.partitions.
     """
     path = path or tokenizer_path()
-    parts = parts or partitions(docs.sparkSession)
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    cuts = range_cuts(rows, "doc_id", parts)
+    parts = parts or parts_of(rows)
+    rows = rows.withColumn("at", F.struct(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i")))
+    cuts = struct_cuts(rows.select("at"), "at", parts)
     n = len(cuts) + 1
-    rows = rows.withColumn("part", range_bucket("doc_id", cuts)).repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.withColumn("part", struct_bucket(F.col("at"), cuts, rows.schema["at"].dataType)).repartitionById(n, F.col("part"))
+    rows = rows.sortWithinPartitions("part", "at").select("doc_id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,7 +120,11 @@ def _open(name: str):
 
 
 def read_ids(spark: SparkSession, folder: str, found: list[tuple[int, int, int]], *, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of 32-bit ids) of every document of the files, and its ids if asked for."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of 32-bit ids) of every document of the files, and its ids if asked for.
+
+    `found` is what write_ids gave; an empty list gives an empty result. Repeated rows each give a row. A file is mapped, or read
+    where its store can't be mapped, by one task.
+    """
     kind = np.dtype(kind_for(vocabulary_size(path or tokenizer_path())))
     ship(spark)
     bases, base = [], 0
