@@ -14,7 +14,7 @@ GRAMS, GRAM_SIZES = 1 << 14, (3, 4, 5)
 WINDOW, STRIDE = 32, 24
 #: Part of the words whose own embedding a training step leaves out, and what a step keeps of all embeddings.
 DROP, DECAY = 0.15, 1e-3
-#: Words that a scorer remembers the input of; beyond this it starts anew.
+#: Words that a scorer remembers the input of; beyond this, or 200 bytes for each, it starts anew.
 MEMORY = 150_000
 #: A-Z become a-z; other ASCII but letters, digits and apostrophes becomes a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() or b == 0x27 else 0x20 for b in range(256))
@@ -192,13 +192,14 @@ class Scorer:
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.held = 0
         self.gates = np.zeros((2, 1024, 3 * HIDDEN), np.float32)
 
     def ids(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
 
     def learn(self, different: set[bytes]) -> None:
-        if len(self.place) > MEMORY:
+        if len(self.place) > MEMORY or self.held > 200 * MEMORY:
             self._forget()
         new = [w for w in different if w not in self.place]
         for at in range(0, len(new), 20_000):
@@ -210,6 +211,7 @@ class Scorer:
             for way in (0, 1):
                 self.gates[way, first : first + len(some)] = x @ self.net.p["Wx"][way] + self.net.p["b"][way]
             self.place.update(zip(some, range(first, first + len(some))))
+            self.held += sum(map(len, some))
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, begin, logit) of all windows of the texts that have words."""

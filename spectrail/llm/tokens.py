@@ -22,8 +22,9 @@ from spectrail.ship import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-#: Chunks that a Python worker remembers; beyond this it forgets all but the short ones.
-MEMORY = 1_000_000
+#: Bytes, about, that each of a Python worker's memories takes; beyond this it forgets all but the short chunks, or all if that
+#: is too little. Chunks of more than LONGEST characters are never remembered.
+MEMORY, LONGEST, OVERHEAD = 160_000_000, 64, 150
 #: Texts of about this many bytes are handled at a time.
 SLICE = 4_000_000
 
@@ -49,6 +50,10 @@ def _load(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
+        if tok.normalizer is not None or type(tok.model).__name__ != "BPE" or type(tok.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError(f"{path}: only byte-level BPE without a normalizer can be counted and encoded by chunks")
+        if any(t.lstrip or t.rstrip or t.single_word for t in tok.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: an added token that takes its surroundings with it can't be told apart by chunks")
         _loaded[path] = tok, tuple(t.content for t in tok.get_added_tokens_decoder().values())
     return _loaded[path]
 
@@ -86,23 +91,39 @@ def _clean(chunk: str, special: tuple[str, ...]) -> bool:
     return bool(body) and SPACE.search(body) is None and not any(s in chunk for s in special)
 
 
+class _Known(dict):
+    """What a worker has learnt, with the bytes that it takes, about. Long keys, and what passes MEMORY, are not kept."""
+
+    held = 0
+
+    def learn(self, key: str, value) -> None:
+        if len(key) <= LONGEST:
+            self.held += OVERHEAD + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            self[key] = value
+
+    def trim(self) -> None:
+        if self.held > MEMORY:
+            short = [(k, v) for k, v in self.items() if len(k) <= 8]
+            self.clear()
+            self.held = 0
+            if len(short) * OVERHEAD <= MEMORY // 2:
+                for k, v in short:
+                    self.learn(k, v)
+
+
 class _Chunks:
     """Looks texts up chunk by chunk. learn(list of clean chunks) -> their values, in order."""
 
     def __init__(self, special: tuple[str, ...], learn) -> None:
         self.special, self.learn = special, learn
-        self.known: dict = {}
-        self.odd: set[str] = set()
+        self.known = _Known()
 
     def values(self, texts: list[str]) -> list[list | None]:
         """The values of each text's chunks, in order; None for a text that must be handled whole.
 
         The texts' own chunks hold no space; a text that begins with a newline has an empty first chunk.
         """
-        if len(self.known) > MEMORY:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= 8}
-        if len(self.odd) > MEMORY:
-            self.odd = set()
+        self.known.trim()
         get, out = self.known.get, []
         open_: list[tuple[list[str], list, list[int]]] = []
         new: set[str] = set()
@@ -116,17 +137,13 @@ class _Chunks:
                 at = [i for i, v in enumerate(found) if v is None]
                 open_.append((chunks, found, at))
                 new.update([chunks[i] for i in at])
-        fresh = []
-        for c in new:
-            if c not in self.odd:
-                if _clean(c, self.special):
-                    fresh.append(c)
-                else:
-                    self.odd.add(c)
-        self.known.update(zip(fresh, self.learn(fresh), strict=True))
+        fresh = [c for c in new if _clean(c, self.special)]
+        learnt = dict(zip(fresh, self.learn(fresh), strict=True))
+        for c, v in learnt.items():
+            self.known.learn(c, v)
         for chunks, found, at in open_:
             for i in at:
-                found[i] = get(chunks[i])
+                found[i] = learnt.get(chunks[i])
         return [None if None in found else found for found in out]
 
 
@@ -155,16 +172,16 @@ class Counter:
     def __init__(self, path: str, whole: frozenset[str]) -> None:
         self.tok, self.special = _load(path)
         self.whole, self.split, self.model = whole, self.tok.pre_tokenizer.pre_tokenize_str, self.tok.model
-        self.merged: dict[str, int] = {}
+        self.merged = _Known()
         self.chunks = _Chunks(self.special, self._learn)
 
     def _piece(self, piece: str) -> int:
         if piece in self.whole:
             return 1
         if (n := self.merged.get(piece)) is None:
-            if len(self.merged) > MEMORY // 4:
-                self.merged.clear()
-            n = self.merged[piece] = len(self.model.tokenize(piece))
+            self.merged.trim()
+            n = len(self.model.tokenize(piece))
+            self.merged.learn(piece, n)
         return n
 
     def _plain(self, text: str) -> int:

@@ -380,6 +380,37 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert len(flat) == 2 * start
 
 
+def test_token_files_of_repeated_ids(spark, tmp_path):
+    """Rows without an id and of one id, and equal rows, go to several files; the order of ids holds."""
+    rows = [(None, "same text")] * 400 + [(7, f"text {i}") for i in range(400)] + [(i, "other") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = token_files.write_ids(docs, str(tmp_path / "x"), parts=12)
+    got = token_files.read_ids(spark, str(tmp_path / "x"), found, with_ids=True).orderBy("start").collect()
+    tok = library()
+    assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x or 0))
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(d), [*tok.encode(t).ids, 0]) for d, t in rows)
+    assert len(found) > 6 and max(n for _, n, _ in found) < 300 and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 20_000)
+    counter, tok = tokens.Counter(tokens.tokenizer_path(), frozenset()), library()
+    for i in range(40):
+        texts = [f"{i}-{j}-" + "xyz" * 500 for j in range(5)] + [f"short{i * 50 + j}" for j in range(50)]
+        assert counter.count(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert counter.chunks.known.held <= 20_000 + 60 * tokens.OVERHEAD and all(len(k) <= tokens.LONGEST for k in counter.chunks.known)
+
+
+def test_other_kinds_of_vocabulary_are_refused(tmp_path):
+    import json
+
+    made = json.loads(open(tokens.tokenizer_path(), encoding="utf-8").read())
+    made["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    with pytest.raises(ValueError, match="normalizer"):
+        tokens.Encoder(str(tmp_path / "t.json"))
+
+
 def test_tokens_odd(spark, odd, tmp_path):
     assert tokens.count_tokens(odd).count() == odd.count() and tokens.count_tokens(odd.where("false")).count() == 0
     found = token_files.write_ids(odd, str(tmp_path / "x"))
@@ -409,7 +440,7 @@ def brute_leaks(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 40, 12])
 def test_decontaminate(spark, rows, block):
     rng = random.Random(5)
     items = [(f"q{i}", " ".join(rng.choice("the of and in to a x y".split()) for _ in range(n))) for i, n in enumerate([30, 12, 10, 4, 25, 11])] + [("empty", ""), ("null", None), ("copy", None)]
@@ -419,7 +450,7 @@ def test_decontaminate(spark, rows, block):
         a, b = rng.choice(items[:6])[1], rng.choice(items[:6])[1]
         texts.append(" ".join([*(texts[i] or "").split()[:5], *a.upper().split()[rng.randint(0, 4) :], "-", *b.split()[: rng.randint(3, 30)], "of the"]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"), block_words=block).collect()}
     hits = 0
     for i, t in enumerate(texts):
         n, hit, found = brute_leaks(t, items)
@@ -430,7 +461,7 @@ def test_decontaminate(spark, rows, block):
     assert hits > 20
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 10])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 3, 15])
 def test_items_without_id_are_searched(spark, tmp_path, block):
     import duckdb
 
@@ -439,7 +470,7 @@ def test_items_without_id_are_searched(spark, tmp_path, block):
     items = spark.createDataFrame([(None, one), (None, two), (8, two)], "item_id long, text string")
     for name, df in (("documents", docs), ("benchmark", items)):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.decontaminate(docs, items, block_bytes=block).collect()}
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.decontaminate(docs, items, block_words=block).collect()}
     assert got == {1: (12, [None], True), 2: (24, ["8", None], True), 3: (0, [], False), 4: (12, ["8", None], True)}
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
@@ -451,7 +482,9 @@ def test_items_without_id_are_searched(spark, tmp_path, block):
 def test_remove_spans(spark):
     item = "one two three four five six seven eight nine ten eleven"
     texts = [f"Keep this. {item.upper()}! And this, {item}.", "clean", None, "one two three four five six seven eight nine", f"é {item}"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("x", F.lit(1))
+    names = ["x", "_d", "_m", "_spans", "hit_doc", "hit_mark", "hit_spans", "spans", "mark"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    assert all(r[n] == n for r in decontaminate.remove_spans(docs, decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "i long, text string").withColumnRenamed("i", "item_id"))).collect() for n in names)
     found = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     got = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, found).collect()}
     assert got == {0: "Keep this. ! And this, .", 1: "clean", 2: None, 3: texts[3], 4: "é "}
