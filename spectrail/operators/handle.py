@@ -91,10 +91,8 @@ class Handle:
         out = self._where(test, ("filter_data_origin", origins))
         if len(origins) > 1:
             place = F.array_position(F.array(*[F.lit(o) for o in dict.fromkeys(origins)]), column)
-            frame = out.frame.withColumn("_old", F.struct(place.alias("p"), "ord_"))
-            # The order is kept as two numbers in one: places are few, so the old order stays exact below 2^52.
-            frame = frame.withColumn("ord_", F.col("_old")["p"] * F.lit(1 << 52) + F.col("ord_")).drop("_old")
-            out = Handle(out.data, with_position(frame, "ord_", "_new").withColumn("ord_", F.col("_new")).drop("_new"), overlay=out.overlay, log=out.log)
+            frame = out.frame.withColumn("ord_", F.struct(place.alias("p"), F.col("ord_").alias("o")))
+            out = Handle(out.data, frame, overlay=out.overlay, log=out.log)
         return out
 
     def filter_precursor_mz_range(self, *mz: float) -> Handle:
@@ -105,11 +103,13 @@ class Handle:
         return self._where(test, ("filter_precursor_mz_range", mz))
 
     def filter_precursor_mz_values(self, mz: Sequence[float], ppm=20.0, tolerance=0.0) -> Handle:
-        """Precursors within mz * ppm / 10^6 + tolerance of some value."""
+        """Precursors within mz * ppm / 10^6 + tolerance of some value. Many windows are joined by ranges."""
         if not mz:
             return self
-        test = pr.either([pr.in_range(F.col("precursorMz"), a, b) for a, b in pr.windows(mz, ppm, tolerance)])
-        return self._where(test, ("filter_precursor_mz_values", (list(mz), ppm, tolerance)))
+        ranges, step = pr.windows(mz, ppm, tolerance), ("filter_precursor_mz_values", (list(mz), ppm, tolerance))
+        if len(ranges) > INLINE:
+            return self._with(in_some(self.frame, "precursorMz", ranges), step)
+        return self._where(pr.either([pr.in_range(F.col("precursorMz"), a, b) for a, b in ranges]), step)
 
     def filter_contains_mz(self, mz: Sequence[float] | float, tolerance=0.0, ppm=20.0, *, allow_native: bool = False) -> Handle:
         """Spectra with a peak in some window. On archives one scan of the points, or of their sorted copy if all runs have it."""
@@ -158,13 +158,17 @@ class Handle:
             index = [i for i, keep in enumerate(index) if keep]
         step = ("take", (index,))
         if index and all(isinstance(i, str) for i in index):
-            return self._by_ids([int(i) for i in index], step)
-        if any(i < 0 for i in index):
-            raise ReferenceError("places begin at 0", index=index[:5])
+            if bad := [i for i in index if not i.isdecimal()]:
+                raise ReferenceError(f"no spectra named {bad[:5]}", names=bad)
+            ids = [int(i) for i in index]
+            wanted = self._table(sorted(set(ids)))
+            if bad := [r[0] for r in wanted.join(self.frame, wanted["_key"] == self.frame["spectrum_id_"], "left_anti").select("_key").limit(5).collect()]:
+                raise ReferenceError(f"no spectra named {bad}", names=bad)
+            return self._by_ids(ids, step)
+        n = self.count() if index else 0
+        if bad := [i for i in index if not 0 <= i < n]:
+            raise ReferenceError(f"there are {n} spectra; no places {bad[:5]}", index=bad)
         if self.full:
-            n = mf.n_spectra(self.data.manifest) if self.data.path is not None else float("inf")
-            if bad := [i for i in index if i >= n]:
-                raise ReferenceError(f"there are {n} spectra; no places {bad[:5]}", index=bad)
             return self._by_ids([i + 1 for i in index], step)
         placed = with_position(self.frame, "ord_", "_at")
         return self._with(self._ordered(placed, "_at", index), step)
@@ -184,9 +188,15 @@ class Handle:
 
     def _ordered(self, frame: DataFrame, key: str, wanted: list[int]) -> DataFrame:
         """Rows whose key is wanted, as often and in the order that it is."""
-        some = self.data.spark.createDataFrame([(int(k), i) for i, k in enumerate(wanted)], f"{key} long, _new long")
-        some = F.broadcast(some) if len(wanted) <= BROADCAST else some
-        return frame.join(some, key).withColumn("ord_", F.col("_new")).drop(key, "_new")
+        some = self._table(wanted)
+        return frame.join(some, F.col(key) == F.col("_key")).withColumn("ord_", F.col("_new")).drop(key, "_key", "_new")
+
+    def _table(self, keys: list[int]) -> DataFrame:
+        """_key and _new (its place), broadcast if there are few."""
+        import pyarrow as pa
+
+        some = self.data.spark.createDataFrame(pa.table({"_key": pa.array(keys, pa.int64()), "_new": pa.array(range(len(keys)), pa.int64())}))
+        return F.broadcast(some) if len(keys) <= BROADCAST else some
 
     def merge(self, *others: Handle) -> Handle:
         """The spectra of all handles of one dataset, one after another; overlaid columns are filled with nulls where absent."""
@@ -194,10 +204,10 @@ class Handle:
             raise SemanticError("only handles of one dataset can be merged")
         frames, whole = [], [self, *others]
         for i, h in enumerate(whole):
-            frames.append(h.frame.withColumn("_part", F.lit(i).cast("long")))
+            flat = h.frame if dict(h.frame.dtypes)["ord_"] == "bigint" else h.placed("ord_")
+            frames.append(flat.withColumn("_part", F.lit(i).cast("long")))
         both = union_by_name(frames)
-        both = both.withColumn("_order", F.col("_part") * F.lit(1 << 52) + F.col("ord_"))
-        both = with_position(both, "_order", "_new").withColumn("ord_", F.col("_new")).drop("_part", "_order", "_new")
+        both = both.withColumn("ord_", F.struct(F.col("_part").alias("p"), F.col("ord_").alias("o"))).drop("_part")
         return Handle(self.data, both, overlay=reduce(lambda a, h: a | h.overlay, whole, frozenset()), log=None)
 
     def with_column(self, name: str, values: Sequence | Column) -> Handle:
@@ -217,6 +227,10 @@ class Handle:
             frame = placed.join(F.broadcast(own) if len(values) <= BROADCAST else own, "_at", "left").drop("_at")
         return Handle(self.data, frame, full=self.full, overlay=self.overlay | {name}, log=None)
 
+    def placed(self, name: str = "place") -> DataFrame:
+        """The frame with each spectrum's place in the handle, from 0."""
+        return with_position(self.frame, "ord_", "_at").withColumn(name, F.col("_at")).drop("_at")
+
     def reset(self) -> Handle:
         return self.data.spectra()
 
@@ -239,6 +253,9 @@ class Handle:
         """The named variables and `keep`: overlaid and disk columns, then sample columns, then peaks."""
         frame, have = self.frame, set(self.frame.columns)
         missing = [c for c in names if c not in have]
+        if self.log is not None and self.data.path is not None and self.data.kind == "native" and any(c in pk_names(self) for c in missing):
+            # Lists are not kept in memory: one scan with the same filters has both, a join would read them all.
+            return _replay(self.data, self.log)._columns(names, keep)
         if missing:
             samples = self.data.samples()
             if extra := [c for c in missing if c in samples.columns]:
@@ -254,11 +271,14 @@ class Handle:
         """Lists gathered from the points of the frame's spectra; none: empty."""
         if self.data.kind == "native":  # by run as well, so that only the directories of selected runs are read
             return frame.join(self.data.lists(*wanted), ["run_id", "spectrum_id_"], "left")
-        ids = frame.select("spectrum_id_").distinct()
-        points = self.data.points() if self.full else self.data.points().join(ids, "spectrum_id_", "left_semi")
-        frame = frame.join(pk.gathered(points, "spectrum_id_"), "spectrum_id_", "left")
+        frame = frame.join(pk.gathered(self._own_points(), "spectrum_id_"), "spectrum_id_", "left")
         return frame.withColumns({c: pk.listed(c) for c in wanted})
 
+    def _own_points(self) -> DataFrame:
+        """Points of an archive's spectra that are in the handle: others go before anything is grouped."""
+        points = self.data.points()
+        return points if self.full else points.join(self.frame.select("spectrum_id_"), "spectrum_id_", "left_semi")
+
     def spectra_data(self, *columns: str) -> DataFrame:
         """The variables (all without names), one row a spectrum, in handle order."""
         columns = columns or tuple(self.variables())
@@ -298,7 +318,7 @@ class Handle:
 
     def ion_count(self) -> DataFrame:
         if self.data.kind != "native":  # sums need no lists
-            sums = self.data.points().groupBy("spectrum_id_").agg(F.sum("intensity").alias("s"))
+            sums = self._own_points().groupBy("spectrum_id_").agg(F.sum("intensity").alias("s"))
             rows = self.frame.select("ord_", "spectrum_id_").join(sums, "spectrum_id_", "left")
             return rows.select("ord_", "spectrum_id_", F.coalesce("s", F.lit(0.0)).alias("ionCount")).orderBy("ord_").drop("ord_")
         rows = self._columns(["intensity"], ["ord_", "spectrum_id_"])
@@ -314,15 +334,13 @@ class Handle:
         if self.data.kind == "native":
             rows = self._columns(["mz"], ["ord_", "spectrum_id_"]).select("ord_", "spectrum_id_", pk.holds("mz", ranges).alias("contains"))
         else:
-            hits = self.data.points().where(pr.either([pr.in_range(F.col("mz"), a, b) for a, b in ranges])).select("spectrum_id_", F.lit(True).alias("_hit")).distinct()
+            hits = self._own_points().where(pr.either([pr.in_range(F.col("mz"), a, b) for a, b in ranges])).select("spectrum_id_", F.lit(True).alias("_hit")).distinct()
             rows = self.frame.select("ord_", "spectrum_id_").join(hits, "spectrum_id_", "left").select("ord_", "spectrum_id_", F.col("_hit").isNotNull().alias("contains"))
         return rows.orderBy("ord_").drop("ord_")
 
     def split(self, name: str) -> dict:
-        """A handle for each value of a variable of few values (a null is one), in order of the values."""
-        values = [r[0] for r in self.frame.select(name).distinct().orderBy(name).limit(10_001).collect()]
-        if len(values) > 10_000:
-            raise SemanticError(f"{name} has more than 10,000 values", column=name)
+        """A handle for each value of a variable (a null is one), in order of the values. The dictionary is as long as there are values."""
+        values = [r[0] for r in self.frame.select(name).distinct().orderBy(name).collect()]
         return {v: self._with(self.frame.where(F.col(name).eqNullSafe(F.lit(v)))) for v in values}
 
     def unique_ms_levels(self) -> list[int]:
@@ -347,6 +365,34 @@ class Handle:
     def data_storage(self) -> DataFrame:
         return self._one("dataStorage", "string")
 
+    def flat(self, column: str = "mz") -> DataFrame:
+        """One peak column of all spectra, one after another, in handle order: ord_ and the value of each peak."""
+        rows = self.peaks_data(column, long=True)
+        return rows.select("spectrum_id_", "peak_", column)
+
+    def as_view(self, name: str) -> str:
+        """Registers the handle's variables as a temporary view for SQL; gives its name. `drop_view` forgets it."""
+        self.frame.select(*[c for c in self.frame.columns if c not in HIDDEN]).createOrReplaceTempView(name)
+        return name
+
+    def drop_view(self, name: str) -> bool:
+        return self.data.spark.catalog.dropTempView(name)
+
+    def summary(self) -> dict:
+        """What `repr` shows: where the spectra are, of what kind, how many runs, what signal an archive gives."""
+        data = self.data
+        return {"path": data.path, "kind": data.kind, "runs": len(data.run_ids) if data.path else None, "representation": data.representation if data.kind == "archive" else None}
+
+    @staticmethod
+    def supports_write_to() -> bool:
+        return True
+
+    @staticmethod
+    def options(spark) -> dict:
+        """Threads and memory are the session's: what it was given for them."""
+        get = spark.conf.get
+        return {"parallelism": spark.sparkContext.defaultParallelism, "partitions": int(get("spark.sql.shuffle.partitions")), "memory": get("spark.executor.memory", None) or get("spark.driver.memory", "1g")}
+
     def write_to(self, path: str, **how) -> Handle:
         """The spectra, in handle order and with what is overlaid, as a new native dataset."""
         from spectrail.operators.writer import write_native
@@ -357,6 +403,29 @@ class Handle:
         return Dataset.open(self.data.spark, path).spectra()
 
 
+def in_some(frame: DataFrame, column: str, ranges: list[tuple[float, float]]) -> DataFrame:
+    """Rows whose value lies in one of many ranges: a range join by bins.
+
+    Overlapping ranges are made one, so a value is in one at most; each range is listed under every bin that it touches, and a
+    row looks under its own. Bins are as wide as a range on average, so there are about twice as many entries as ranges.
+    """
+    spark, merged = frame.sparkSession, []
+    for a, b in sorted(r for r in ranges if r[0] <= r[1]):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    if not merged:
+        return frame.where(F.lit(False))
+    width = max(1e-6, sum(b - a for a, b in merged) / len(merged))
+    entries = spark.createDataFrame(merged, "_low double, _high double")
+    first, last = (F.floor(F.col(c) / F.lit(width)) for c in ("_low", "_high"))
+    entries = entries.withColumn("_bin", F.explode(F.sequence(first, last)))
+    entries = F.broadcast(entries) if len(merged) <= BROADCAST else entries
+    value = F.col(column)
+    return frame.join(entries, (F.floor(value / F.lit(width)) == F.col("_bin")) & value.between(F.col("_low"), F.col("_high")), "left_semi")
+
+
 def pk_names(handle: Handle) -> tuple[str, ...]:
     return tuple(handle.data.peak_variables()) if "mz" not in handle.frame.columns else ()
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from spectrail.errors import ArchiveError, FormatError, StudyError
 from spectrail.sources import manifest as mf
-from spectrail.sources.archive import Archive, is_archive, leaves, resolve, unpack
-from spectrail.sources.dataset import Dataset
+from spectrail.sources.archive import Archive, is_archive, leaves, resolve, rows_of, unpack
+from spectrail.sources.dataset import Dataset, union_by_name
 
 INDEX_ROW_GROUP = 4096
+#: Archives whose indexes one job writes.
+TOGETHER = 50
 #: Index column, type, and where it may be found.
 METADATA = (
     ("id", "string", "id"), ("ms_level", "int", "ms_level"), ("time", "double", "time"), ("scan_polarity", "int", "scan_polarity"),
@@ -57,8 +59,8 @@ def first_and_count(facet: DataFrame, key: str, order: str | None, columns: list
     return out.select("_key", "_first.*", count)
 
 
-def index_frame(spark: SparkSession, archive: Archive, base: int) -> DataFrame:
-    """The flat index of an archive: metadata, and the first row of each facet with its count."""
+def index_frame(spark: SparkSession, archive: Archive, base: int, origin: str | None = None) -> DataFrame:
+    """The flat index of an archive: metadata, and the first row of each facet with its count. The origin is what the manifest has as its source."""
     meta = spark.read.parquet(archive.member("spectrum", "metadata", needed=True))
     found = leaves(meta.schema)
     index = resolve(found, "index")
@@ -66,7 +68,7 @@ def index_frame(spark: SparkSession, archive: Archive, base: int) -> DataFrame:
         raise ArchiveError(f"{archive.path}: the metadata has no index", path=archive.path)
     known = {"index"} | {p for _, _, p in METADATA}
     rest = [c.alias(p) for p, c in found.items() if "." not in p and p not in known]
-    out = meta.select(index.cast("long").alias("spectrum_index"), (index + F.lit(base)).cast("int").alias("spectrum_id_"), F.lit(archive.path).alias("data_origin"), *_picked(meta, METADATA), *rest)
+    out = meta.select(index.cast("long").alias("spectrum_index"), (index + F.lit(base)).cast("int").alias("spectrum_id_"), F.lit(origin or archive.path).alias("data_origin"), *_picked(meta, METADATA), *rest)
     for kind, wanted, count in FACETS:
         name = archive.facet(kind) or archive.facet(f"metadata_{kind}")
         if name is None:
@@ -95,7 +97,7 @@ def add_archives(spark: SparkSession, path: str, archives: Sequence[str], *, lin
         manifest = mf.read(path)
         if manifest["runs"] and mf.kind_of(manifest) != "archive":
             raise FormatError(f"{path} holds native runs", path=path)
-        staging, done, maps = os.path.join(path, f".staging-{uuid.uuid4().hex}"), [], []
+        staging, maps, frames, runs = os.path.join(path, f".staging-{uuid.uuid4().hex}"), [], [], []
         try:
             for source in archives:
                 if not is_archive(source):
@@ -110,15 +112,21 @@ def add_archives(spark: SparkSession, path: str, archives: Sequence[str], *, lin
                 run = archive.run_id()
                 if any(r["run_id"].lower() == run.lower() for r in manifest["runs"]):
                     raise StudyError(f"run {run!r} is in the dataset already", run_id=run)
-                target = os.path.join(staging, f"run_id={run}")
-                frame = index_frame(spark, archive, mf.next_base(manifest))
-                frame.coalesce(1).sortWithinPartitions("spectrum_id_").write.option("compression", "zstd").option("parquet.block.row.count.limit", INDEX_ROW_GROUP).parquet(target)
-                manifest = mf.add_run(manifest, run, "archive", at, spark.read.parquet(target).count(), signal)
+                n = rows_of(archive.member("spectrum", "metadata", needed=True))
+                frames.append(index_frame(spark, archive, mf.next_base(manifest), signal["source"]).withColumn("run_id", F.lit(run)))
+                manifest = mf.add_run(manifest, run, "archive", at, n, signal)
+                runs.append((run, n))
                 maps += archive.column_map()
-                done.append((target, os.path.join(path, "index", "spectra", f"run_id={run}")))
-            for a, b in done:
-                os.makedirs(os.path.dirname(b), exist_ok=True)
-                os.rename(a, b)
+            for at in range(0, len(frames), TOGETHER):  # one job for many archives
+                rows = union_by_name(frames[at : at + TOGETHER]).repartition("run_id").sortWithinPartitions("run_id", "spectrum_id_")
+                rows.write.mode("append").partitionBy("run_id").option("compression", "zstd").option("parquet.block.row.count.limit", INDEX_ROW_GROUP).parquet(f"file://{os.path.abspath(staging)}")
+            if runs:
+                counts = {str(r.run_id): r.n for r in spark.read.schema("spectrum_id_ int, run_id string").parquet(f"file://{os.path.abspath(staging)}").groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+                if counts != dict(runs):
+                    raise ArchiveError(f"{path}: the indexes do not have the announced numbers of spectra", announced=dict(runs), written=counts)
+            os.makedirs(os.path.join(path, "index", "spectra"), exist_ok=True)
+            for run, _ in runs:
+                os.rename(os.path.join(staging, f"run_id={run}"), os.path.join(path, "index", "spectra", f"run_id={run}"))
         finally:
             shutil.rmtree(staging, ignore_errors=True)
         _merge_column_map(path, maps)

@@ -35,8 +35,13 @@ def set_run_data(data: Dataset, table: DataFrame) -> None:
         if unknown := [i for i in ids if i not in known]:
             raise StudyError(f"no runs {unknown[:5]}", run_ids=unknown)
         target, staging = os.path.join(data.path, SAMPLES), os.path.join(data.path, f".staging-{uuid.uuid4().hex}")
-        table.withColumn("run_id", F.col("run_id").cast("string")).coalesce(1).write.parquet(staging)
-        shutil.rmtree(target, ignore_errors=True)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        os.rename(staging, target)
+        try:
+            table.withColumn("run_id", F.col("run_id").cast("string")).coalesce(1).write.parquet(f"file://{os.path.abspath(staging)}")
+            part = next(f for f in os.listdir(staging) if f.endswith(".parquet"))
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            if os.path.isdir(target):
+                shutil.rmtree(target)
+            os.replace(os.path.join(staging, part), target)  # one file: there is always an old table or a new one
+        finally:
+            shutil.rmtree(staging, ignore_errors=True)
         mf.write(data.path, manifest, lock=False)

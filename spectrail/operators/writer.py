@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from spectrail.errors import FormatError, SemanticError
-from spectrail.functions.order import with_position
 from spectrail.functions.vocab import BY_NAME, PEAKS, encode, written_name
 from spectrail.sources import manifest as mf
 from spectrail.sources import runs as rn
@@ -49,72 +48,113 @@ def cut_runs(df: DataFrame) -> list[tuple[str, str | None, int]]:
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Without the variables of the vocabulary that are null throughout; other columns stay."""
+    return df.drop(*_facts(df)[0])
+
+
+def _facts(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Variables of the vocabulary that are null throughout, and lists that are not as long as mz; one pass."""
     core = [c for c in df.columns if c in BY_NAME]
-    if not core:
-        return df
-    full = df.agg(*[F.count(F.col(c)).alias(c) for c in core]).first()
-    return df.drop(*[c for c in core if not full[c]])
+    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType) and f.name != "mz"] if "mz" in df.columns else []
+    n = F.size(F.coalesce(F.col("mz"), F.array().cast("array<double>"))) if lists else None
+    wrong = [F.max((F.col(f"`{c}`").isNotNull() & (F.size(F.col(f"`{c}`")) != n)).cast("int")).alias(f"wrong_{i}") for i, c in enumerate(lists)]
+    if not core and not wrong:
+        return [], []
+    row = df.agg(*[F.count(F.col(c)).alias(f"full_{i}") for i, c in enumerate(core)], *wrong).first()
+    return [c for i, c in enumerate(core) if not row[f"full_{i}"]], [c for i, c in enumerate(lists) if row[f"wrong_{i}"]]
+
+
+def staged(df: DataFrame, folder: str, order_by: str | None) -> DataFrame:
+    """`df`, written once below `folder`, with position: a row's place from 0 in the order of order_by, or of partitions and rows.
+
+    A file holds a range of that order, so a place is the row's number in its file behind the counts of the files before it;
+    the driver sees a count for each file. Whatever the source does when it is read again, places stay what they are.
+    """
+    if order_by is not None:
+        df = df.repartitionByRange(F.col(order_by).asc_nulls_first()).sortWithinPartitions(F.col(order_by).asc_nulls_first()).drop(order_by)
+    df.write.parquet(folder)
+    spark = df.sparkSession
+    read = spark.read.schema(df.schema).parquet(folder)
+    files = read.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()
+    base, bases = 0, []
+    for r in sorted(files, key=lambda r: int(r.name.split("-")[1])):
+        bases.append((r.name, base))
+        base += r.n
+    if not bases:
+        return read.withColumn("position", F.lit(0).cast("long"))
+    rows = read.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+    begin = F.broadcast(spark.createDataFrame(bases, "_name string, _base long"))  # a row a file
+    return rows.join(begin, "_name").withColumn("position", F.col("_base") + F.col("_row")).drop("_name", "_row", "_base")
 
 
-def check_peaks(df: DataFrame) -> None:
-    """Lists of a spectrum beside mz must be as long as mz, or null."""
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+def _write_runs(df: DataFrame, path: str, manifest: dict, *, order_by: str | None, keys: list[str], compression: str, row_group: int) -> dict:
+    """Writes a frame's spectra as runs behind those of the manifest, below spectra/; gives the manifest with them."""
     for c in PEAKS:
-        if c not in lists:
+        if c not in df.columns or not isinstance(df.schema[c].dataType, ArrayType):
             raise SemanticError(f"column {c!r} must be a list for each spectrum", column=c)
-    n = F.size(F.coalesce(F.col("mz"), F.array().cast("array<double>")))
-    wrong = [F.max((F.col(f"`{c}`").isNotNull() & (F.size(F.col(f"`{c}`")) != n)).cast("int")).alias(c) for c in lists if c != "mz"]
-    row = df.agg(*wrong).first()
-    if bad := [c for c in lists if c != "mz" and row[c]]:
-        raise SemanticError(f"lists differ in length from mz: {bad}", columns=bad)
+    if missing := [k for k in keys if k not in df.columns]:
+        raise SemanticError(f"no columns to partition by: {missing}", columns=missing)
+    df = df.drop("spectrum_id_", "spectrum_index", "dataStorage", "_time", "ord_")
+    os.makedirs(path, exist_ok=True)
+    staging = os.path.join(path, f".staging-{uuid.uuid4().hex}")
+    try:
+        df = staged(df, f"file://{os.path.abspath(staging)}/rows", order_by)
+        empty, wrong = _facts(df)
+        if wrong:
+            raise SemanticError(f"lists differ in length from mz: {wrong}", columns=wrong)
+        df = df.drop(*empty)
+        found = cut_runs(df)
+        keys = [k for k in keys if k not in empty]
+        if "dataOrigin" in keys and found and all(o is not None for _, o, _ in found):
+            warnings.warn("runs are the data origins; dataOrigin is not needed as a partition key", stacklevel=4)
+            keys.remove("dataOrigin")
+        ids = rn.unique([r for r, _, _ in found], [r["run_id"] for r in manifest["runs"]])
+        first, base, begins = mf.next_base(manifest), 0, []
+        for run, (_, origin, n) in zip(ids, found, strict=True):
+            begins.append(base)
+            manifest = mf.add_run(manifest, run, "native", f"spectra/run_id={run}", n, {"layout": "list", "profile": None, "centroid": None, "partitioning": keys, "source": origin})
+            base += n
+        if not found:
+            os.makedirs(os.path.join(path, "spectra"), exist_ok=True)
+            return manifest
+        # A row's run by its place among the beginnings.
+        at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in begins]), lambda b: b <= F.col("position"))) - 1
+        start = F.get(F.array(*[F.lit(b).cast("long") for b in begins]), at)
+        rows = df.drop("run_id").withColumn("run_id", F.get(F.array(*[F.lit(r) for r in ids]), at))
+        rows = rows.withColumn("spectrum_id_", (F.col("position") + first).cast("int")).withColumn("spectrum_index", F.col("position") - start)
+        on_disk = [written_name(k) for k in keys]
+        out = encode(rows.drop("position")).sortWithinPartitions("run_id", *on_disk, "spectrum_id_").write.partitionBy("run_id", *on_disk)
+        out.option("compression", compression).option("parquet.block.row.count.limit", row_group).parquet(f"file://{os.path.abspath(staging)}/spectra")
+        written = df.sparkSession.read.schema("spectrum_id_ int").parquet(f"file://{os.path.abspath(staging)}/spectra").count()
+        if written != base:
+            raise FormatError(f"{written} spectra were written, {base} were announced", written=written, announced=base)
+        os.makedirs(os.path.join(path, "spectra"), exist_ok=True)
+        for run in ids:
+            os.rename(os.path.join(staging, "spectra", f"run_id={run}"), os.path.join(path, "spectra", f"run_id={run}"))
+        return manifest
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
 
 
 def write_native(df: DataFrame, path: str, *, order_by: str | None = None, partitioning: Sequence[str] = (), compression: str = "snappy", row_group: int = ROW_GROUP, extra: dict | None = None) -> None:
-    """Writes a frame of variables and peak lists as a new dataset.
+    """Writes a frame of variables and peak lists as a new dataset. The frame is computed once.
 
-    order_by: a numeric column, unique, by which the spectra are ordered (it is not written); without one the order is
+    order_by: a column, unique, by which the spectra are ordered (it is not written); without one the order is
     that of the frame's partitions and rows. Ids are the places in that order, from 1. Runs lie in it one after another.
     """
     if os.path.exists(path) and os.listdir(path):
         raise FormatError(f"{path} is not empty", path=path)
-    keys = list(partitioning)
-    if missing := [k for k in keys if k not in df.columns]:
-        raise SemanticError(f"no columns to partition by: {missing}", columns=missing)
-    check_peaks(df)
-    df = df.drop("spectrum_id_", "spectrum_index", "dataStorage", "_time", "ord_")
-    if order_by is None:
-        df, order_by = df.withColumn("_order", F.monotonically_increasing_id()), "_order"
-    df = with_position(df, order_by).drop(order_by)
-    df = drop_empty(df)
-    found = cut_runs(df)
-    if "dataOrigin" in keys and found and all(o is not None for _, o, _ in found):
-        warnings.warn("runs are the data origins; dataOrigin is not needed as a partition key", stacklevel=3)
-        keys.remove("dataOrigin")
-    manifest = mf.new() | (extra or {})
-    base, pick, index = 0, F.lit(None).cast("string"), F.col("position")
-    ends = []
-    for run, origin, n in found:
-        ends.append((base, run))
-        manifest = mf.add_run(manifest, run, "native", f"spectra/run_id={run}", n, {"layout": "list", "profile": None, "centroid": None, "partitioning": keys, "source": origin})
-        base += n
-    for begin, run in ends:
-        pick = F.when(F.col("position") >= begin, F.lit(run)).otherwise(pick)
-    start = F.lit(0).cast("long")
-    for begin, _ in ends:
-        start = F.when(F.col("position") >= begin, F.lit(begin).cast("long")).otherwise(start)
-    if len(ends) > 50:  # many runs: by their position among the beginnings, not by a chain of tests
-        begins = F.array(*[F.lit(b).cast("long") for b, _ in ends])
-        at = F.size(F.filter(begins, lambda b: b <= F.col("position"))) - 1
-        pick, start = F.get(F.array(*[F.lit(r) for _, r in ends]), at), F.get(begins, at)
-    rows = df.drop("run_id").withColumn("run_id", pick).withColumn("spectrum_id_", (F.col("position") + 1).cast("int")).withColumn("spectrum_index", (index - start).cast("long"))
-    disk = encode(rows.drop("position"))
-    staging = os.path.join(path, f".staging-{uuid.uuid4().hex}")
-    os.makedirs(path, exist_ok=True)
-    on_disk = [written_name(k) for k in keys]
-    disk.sortWithinPartitions("run_id", *on_disk, "spectrum_id_").write.partitionBy("run_id", *on_disk).option("compression", compression).option("parquet.block.row.count.limit", row_group).parquet(staging)
-    written = df.sparkSession.read.parquet(staging).count() if found else 0
-    if written != base:
-        shutil.rmtree(staging)
-        raise FormatError(f"{written} spectra were written, {base} were announced", written=written, announced=base)
-    os.rename(staging, os.path.join(path, "spectra"))
+    manifest = _write_runs(df, path, mf.new() | (extra or {}), order_by=order_by, keys=list(partitioning), compression=compression, row_group=row_group)
     mf.write(path, manifest)
+
+
+def append_native(df: DataFrame, path: str, *, order_by: str | None = None, compression: str = "snappy", row_group: int = ROW_GROUP) -> None:
+    """Adds a frame's spectra as new runs behind those of a native dataset, with its partition keys; ids go on. Columns may differ.
+
+    Run ids that are taken get a suffix. Nothing counts before the manifest is replaced.
+    """
+    with mf.locked(path):
+        manifest = mf.read(path)
+        if mf.kind_of(manifest) != "native":
+            raise FormatError(f"{path} holds archives", path=path)
+        keys = next((list(r["signal"].get("partitioning") or []) for r in manifest["runs"]), [])
+        mf.write(path, _write_runs(df, path, manifest, order_by=order_by, keys=keys, compression=compression, row_group=row_group), lock=False)

@@ -75,7 +75,7 @@ def filter_data_origin(spark, sf_dir):
 FROM spectra WHERE "dataOrigin" IN ('3-MEDIUM', '1-URGENT')""")
 def filter_data_origin_reorder(spark, sf_dir):
     h = _lists(spark, sf_dir).filter_data_origin("3-MEDIUM", "1-URGENT")
-    return h.frame.select("spectrum_id_", F.col("ord_").alias("place")).orderBy("place")
+    return h.placed().select("spectrum_id_", "place").orderBy("place")
 
 
 @_query(f'{ID} WHERE "precursorMz" BETWEEN 500 AND 900')
@@ -113,10 +113,11 @@ def subset_listed(spark, sf_dir):
     return _lists(spark, sf_dir).take([1, 3, 8, 99, 100]).spectra_data("spectrum_id_", "rtime")
 
 
-@_query("SELECT spectrum_id_, rtime FROM spectra WHERE spectrum_id_ % 7 = 1 AND spectrum_id_ <= 10000")
+@_query("SELECT spectrum_id_, rtime, (SELECT count(*) FROM spectra) - spectrum_id_ AS place FROM spectra")
 def subset_joined(spark, sf_dir):
-    n = min(10_000, tables.orders(spark, sf_dir).count())
-    return _lists(spark, sf_dir).take(range(0, n, 7)).spectra_data("spectrum_id_", "rtime")
+    """All spectra by their places, backwards."""
+    h = _lists(spark, sf_dir)
+    return h.take(range(h.count() - 1, -1, -1)).frame.select("spectrum_id_", "rtime", F.col("ord_").alias("place")).orderBy("place")
 
 
 @_query("SELECT spectrum_id_, rtime, place FROM spectra JOIN (VALUES (6, 0), (3, 1), (6, 2), (1, 3)) v(i, place) ON i = spectrum_id_")
@@ -129,7 +130,7 @@ def subset_duplicates(spark, sf_dir):
   SELECT 1 AS p, spectrum_id_ FROM spectra WHERE "msLevel" = 3 UNION ALL SELECT 2, spectrum_id_ FROM spectra WHERE rtime BETWEEN 100 AND 200)""")
 def merge_handles(spark, sf_dir):
     h = _lists(spark, sf_dir)
-    return h.filter_ms_level(3).merge(h.filter_rt(100, 200)).frame.select("spectrum_id_", F.col("ord_").alias("place")).orderBy("place")
+    return h.filter_ms_level(3).merge(h.filter_rt(100, 200)).placed().select("spectrum_id_", "place").orderBy("place")
 
 
 @_query('SELECT rtime, spectrum_id_, "precursorMz" FROM spectra WHERE "msLevel" = 2')

@@ -110,6 +110,11 @@ class Archive:
         return {"layout": "point", "profile": rel(self.profile), "centroid": rel(self.centroid)}
 
 
+def rows_of(name: str) -> int:
+    """A member's rows, from its footer."""
+    return pq.read_metadata(name).num_rows
+
+
 def footer(name: str, key: str) -> str | None:
     value = (pq.read_metadata(name).metadata or {}).get(key.encode())
     return None if value is None else value.decode()

@@ -45,6 +45,15 @@ def read_runs(spark: SparkSession, folder: str, string_keys: Sequence[str] = ("r
 RANK = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "float": 4, "double": 5, "string": 6}
 
 
+def _wider(a: str, b: str) -> str:
+    """The narrowest type that holds both: a float can't hold what an int can."""
+    if a not in RANK or b not in RANK:
+        return "string"
+    if {a, b} in ({"int", "float"}, {"bigint", "float"}):
+        return "double"
+    return max(a, b, key=RANK.get)
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames; columns by name, absent ones null, each of the widest type that a frame has for it."""
     widest: dict[str, str] = {}
@@ -52,7 +61,7 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
         for name, kind in df.dtypes:
             old = widest.setdefault(name, kind)
             if old != kind:
-                widest[name] = max(old, kind, key=lambda k: RANK.get(k, 6)) if old in RANK and kind in RANK else "string"
+                widest[name] = _wider(old, kind)
     out = None
     for df in frames:
         df = df.select(*[F.col(f"`{n}`").cast(widest[n]).alias(n) if widest[n] != k else F.col(f"`{n}`") for n, k in df.dtypes])
@@ -68,6 +77,7 @@ class Dataset:
             raise CapabilityError(f"representation must be one of {REPRESENTATIONS}", representation=representation)
         self.spark, self.path, self.representation = spark, path, representation
         self._raw, self._points, self._samples = raw, points, samples
+        self._read: tuple = (None, None)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, representation: str = "auto") -> Dataset:
@@ -96,13 +106,19 @@ class Dataset:
         return [r["run_id"] for r in self.manifest["runs"]]
 
     def raw(self) -> DataFrame:
-        """Metadata (and native peak lists) under their on-disk names, with spectrum_id_ and run_id."""
+        """Metadata (and native peak lists) under their on-disk names, with spectrum_id_ and run_id. Files are listed, and their schemas merged, once for each state of the dataset."""
         if self._raw is not None:
             return self._raw
+        stamp = mf.stamp(self.path)
+        if self._read[0] != stamp:
+            self._read = stamp, self._scan()
+        return self._read[1]
+
+    def _scan(self) -> DataFrame:
         if not self.manifest["runs"]:
             return self.spark.createDataFrame([], "spectrum_id_ int, run_id string, spectrum_index long" + (", mz array<double>, intensity array<double>" if self.kind == "native" else ""))
         if self.kind == "native":
-            keys = {k for r in self.manifest["runs"] for k in r["signal"].get("partitioning", [])}
+            keys = {k for r in self.manifest["runs"] for k in r["signal"].get("partitioning") or []}
             return read_runs(self.spark, os.path.join(self.path, "spectra"), ("run_id", *sorted(k for k in keys if k == "dataOrigin")))
         return read_runs(self.spark, os.path.join(self.path, "index", "spectra"))
 

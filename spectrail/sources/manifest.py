@@ -2,6 +2,10 @@
 
 {format, version, generation, created, runs: [...]}; other top-level keys are kept as they are. A run owns the ids
 uid_base .. uid_base + n_spectra - 1; runs tile 1..N without gaps. The file is replaced atomically, last of all writes.
+
+A dataset that another engine made, of the same layout under a manifest of its own name, is read and extended as it is: the manifest
+is the one JSON file on top that has these keys, and its format, version and names of kinds are kept. Only `native` is a fixed name
+there; any other kind is an archive.
 """
 
 from __future__ import annotations
@@ -22,14 +26,37 @@ PROJECTIONS = ("mzsorted",)
 _cache: dict[str, tuple[tuple[int, int], dict]] = {}
 
 
+KEYS = {"format", "version", "generation", "runs"}
+
+
 def manifest_path(path: str) -> str:
-    return os.path.join(path, FILE)
+    """The manifest's file: our own, or the one JSON file of its form."""
+    own = os.path.join(path, FILE)
+    if os.path.isfile(own) or not os.path.isdir(path):
+        return own
+    found = [f for f in sorted(os.listdir(path)) if f.endswith(".json") and _has_form(os.path.join(path, f))]
+    return os.path.join(path, found[0]) if len(found) == 1 else own
+
+
+def _has_form(name: str) -> bool:
+    try:
+        with open(name, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return False
+    return isinstance(found, dict) and found.keys() >= KEYS
 
 
 def is_dataset(path: str) -> bool:
     return os.path.isfile(manifest_path(path))
 
 
+def stamp(path: str) -> tuple:
+    """Changes whenever the manifest does."""
+    st = os.stat(manifest_path(path))
+    return st.st_mtime_ns, st.st_size, st.st_ino
+
+
 def new() -> dict:
     return {"format": FORMAT, "version": VERSION, "generation": 1, "created": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "runs": []}
 
@@ -51,28 +78,31 @@ def read(path: str) -> dict:
             found = json.load(f)
     except ValueError as e:
         raise FormatError(f"{name} is not valid JSON: {e}", path=path) from e
-    if not isinstance(found, dict) or found.get("format") != FORMAT:
+    if not isinstance(found, dict) or not isinstance(found.get("format"), str) or (os.path.basename(name) == FILE and found["format"] != FORMAT):
         raise FormatError(f"{name} has format {found.get('format') if isinstance(found, dict) else None!r}, not {FORMAT!r}", path=path)
     if major(found.get("version")) != major(VERSION):
         raise FormatError(f"{name} has version {found['version']}; this engine reads {VERSION}", path=path, version=found["version"])
     if not isinstance(found.get("generation"), int) or not isinstance(found.get("runs"), list):
         raise FormatError(f"{name} lacks a generation or runs", path=path)
     kinds = {r["kind"] for r in found["runs"]}
-    if len(kinds) > 1 or not kinds <= set(KINDS):
+    if len(kinds) > 1 or (found["format"] == FORMAT and not kinds <= set(KINDS)):
         raise FormatError(f"{name} mixes or has unknown kinds of runs: {sorted(kinds)}", path=path)
+    for r in found["runs"]:
+        r["signal"], r["projections"] = r.get("signal") or {}, r.get("projections") or {}
+        if not os.path.isabs(r["path"]) and r["kind"] != "native":
+            r["path"] = os.path.join(path, r["path"])
     return found
 
 
 def load(path: str) -> dict:
     """The manifest, cached by the file's time and size."""
     try:
-        st = os.stat(manifest_path(path))
+        now = stamp(path)
     except FileNotFoundError:
         return read(path)
-    stamp = (st.st_mtime_ns, st.st_size)
     held = _cache.get(path)
-    if held is None or held[0] != stamp:
-        _cache[path] = held = (stamp, read(path))
+    if held is None or held[0] != now:
+        _cache[path] = held = (now, read(path))
     return copy.deepcopy(held[1])
 
 
@@ -98,7 +128,7 @@ class locked:
 
 def write(path: str, manifest: dict, *, bump: bool = True, lock: bool = True) -> dict:
     """Replaces the manifest if the one on disk is still of the generation that `manifest` came from."""
-    if manifest.get("format") != FORMAT:
+    if not manifest.keys() >= KEYS or (not is_dataset(path) and manifest["format"] != FORMAT):
         raise FormatError("not a manifest", path=path)
     if lock:
         with locked(path):
@@ -120,7 +150,8 @@ def write(path: str, manifest: dict, *, bump: bool = True, lock: bool = True) ->
 
 
 def kind_of(manifest: dict) -> str:
-    return manifest["runs"][0]["kind"] if manifest["runs"] else "native"
+    """native or archive; a dataset without runs is taken for native."""
+    return "archive" if manifest["runs"] and manifest["runs"][0]["kind"] != "native" else "native"
 
 
 def run_table(path: str) -> list[dict]:
@@ -130,7 +161,7 @@ def run_table(path: str) -> list[dict]:
         signal = r.get("signal", {})
         out.append({
             "run_id": r["run_id"], "kind": r["kind"], "path": r["path"], "n_spectra": r["n_spectra"], "uid_base": r["uid_base"], "ingested_at": r["ingested_at"],
-            "layout": signal.get("layout"), "profile": signal.get("profile"), "centroid": signal.get("centroid"), "source": signal.get("source") or (r["path"] if r["kind"] == "archive" else None),
+            "layout": signal.get("layout"), "profile": signal.get("profile"), "centroid": signal.get("centroid"), "source": signal.get("source") or (r["path"] if r["kind"] != "native" else None),
         })
     return out
 
@@ -150,6 +181,8 @@ def add_run(manifest: dict, run_id: str, kind: str, path: str, n: int, signal: d
     if any(r["run_id"].lower() == run_id.lower() for r in manifest["runs"]):
         raise StudyError(f"run {run_id!r} is in the dataset already", run_id=run_id)
     manifest = copy.deepcopy(manifest)
+    if kind == "archive" and manifest["runs"]:
+        kind = manifest["runs"][0]["kind"]  # by the name that the dataset has for it
     manifest["runs"].append({"run_id": run_id, "kind": kind, "path": path, "n_spectra": n, "uid_base": next_base(manifest), "ingested_at": manifest["generation"], "signal": signal, "projections": {}})
     return manifest
 

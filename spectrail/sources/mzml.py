@@ -28,11 +28,15 @@ DISSOCIATION = {
     "MS:1000282": "sustained off-resonance irradiation", "MS:1000422": "beam-type collision-induced dissociation", "MS:1000433": "low-energy collision-induced dissociation",
     "MS:1000435": "photodissociation", "MS:1000598": "electron transfer dissociation", "MS:1000599": "pulsed q dissociation", "MS:1001880": "in-source collision-induced dissociation",
     "MS:1002000": "LIFT", "MS:1002472": "trap-type collision-induced dissociation", "MS:1002481": "higher energy beam-type collision-induced dissociation",
-    "MS:1002631": "Electron-Transfer/Higher-Energy Collision Dissociation (EThcD)", "MS:1003246": "ultraviolet photodissociation", "MS:1003247": "negative electron transfer dissociation",
     "MS:1002678": "supplemental beam-type collision-induced dissociation", "MS:1002679": "supplemental collision-induced dissociation",
+    "MS:1003246": "ultraviolet photodissociation", "MS:1003247": "negative electron transfer dissociation", "MS:1003294": "electron activated dissociation",
 }
 SUPPLEMENTAL = frozenset(["MS:1002678", "MS:1002679"])
 
+#: Numpress codings, alone and with zlib; types of numbers.
+NUMPRESS = frozenset(["MS:1002312", "MS:1002313", "MS:1002314", "MS:1002746", "MS:1002747", "MS:1002748"])
+KINDS = {"MS:1000519": "<i4", "MS:1000521": "<f4", "MS:1000522": "<i8", "MS:1000523": "<f8"}
+
 NUMBERS = {
     "MS:1000285": "totIonCurrent", "MS:1000504": "basePeakMZ", "MS:1000505": "basePeakIntensity", "MS:1000528": "lowMZ", "MS:1000527": "highMZ",
 }
@@ -110,11 +114,11 @@ def _binary(node, groups) -> tuple[str | None, np.ndarray]:
     terms = {t for t, _, _ in _terms(node, groups)}
     text = next(((c.text or "") for c in node if _local(c.tag) == "binary"), "")
     raw = base64.b64decode(text)
+    if terms & NUMPRESS:
+        raise UnsupportedError("numpress arrays can't be read")
     if "MS:1000574" in terms and raw:
         raw = zlib.decompress(raw)
-    elif terms & {"MS:1002312", "MS:1002313", "MS:1002314"}:
-        raise UnsupportedError("numpress arrays can't be read")
-    kind = "<f4" if "MS:1000521" in terms else "<f8"
+    kind = next((k for t, k in KINDS.items() if t in terms), "<f8")
     which = "mz" if "MS:1000514" in terms else "intensity" if "MS:1000515" in terms else None
     return which, np.frombuffer(raw, kind).astype(float)
 
@@ -123,15 +127,20 @@ def spectra(source, origin: str, file: int = 0) -> Iterator[dict]:
     """The spectra of an open mzML file, one at a time; memory holds one spectrum."""
     groups: dict[str, list] = {}
     number: dict[str, int] = {}
-    for _, node in ElementTree.iterparse(source, events=("end",)):
+    above: list = []
+    for event, node in ElementTree.iterparse(source, events=("start", "end")):
         kind = _local(node.tag)
+        if event == "start":
+            if kind in ("spectrumList", "chromatogramList", "indexList"):
+                above = [node]
+            continue
         if kind == "referenceableParamGroup":
             groups[node.get("id", "")] = _terms(node, groups)
         elif kind == "spectrum":
             yield _spectrum(node, groups, origin, file, len(number), number)
-            node.clear()
-        elif kind in ("chromatogram", "index"):
-            node.clear()
+        if kind in ("spectrum", "chromatogram", "index"):
+            for list_ in above:  # not even an empty element stays
+                list_.clear()
 
 
 def _spectrum(node, groups, origin: str, file: int, index: int, number: dict[str, int]) -> dict:

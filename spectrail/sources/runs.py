@@ -8,13 +8,13 @@ from bisect import bisect_right
 
 from spectrail.errors import ReferenceError, SemanticError
 
-VALID = re.compile(r"(?![._])[A-Za-z0-9._-]{1,128}$")
+VALID = re.compile(r"(?![._])[A-Za-z0-9._-]+$")
 
 
 def sanitised(text: str) -> str:
-    """Letters, digits, dot, underscore and dash; other runs of characters become a dash; at most 128; never empty."""
-    out = re.sub(r"[^A-Za-z0-9._-]+", "-", text)
-    out = re.sub(r"^[._]+", "", out)[:128]
+    """Letters, digits, dot, underscore and dash; other runs of characters become an underscore; none of dot and underscore leads; never empty."""
+    out = re.sub(r"[^A-Za-z0-9._-]+", "_", text)
+    out = re.sub(r"^[._]+", "", out)
     return out or "run"
 
 
@@ -25,10 +25,10 @@ def of_file(name: str) -> str:
     return sanitised(re.sub(r"\.[^.]*$", "", base) or base)
 
 
-def unique(ids: list[str]) -> list[str]:
-    """The ids with -1, -2, ... behind those that came before, regardless of case."""
+def unique(ids: list[str], held: list[str] = ()) -> list[str]:
+    """The ids with -1, -2, ... behind those that came before, or are `held` already, regardless of case."""
     taken, out = {i.lower() for i in ids}, []
-    used: set[str] = set()
+    used: set[str] = {i.lower() for i in held}
     for i in ids:
         new, n = i, 0
         while new.lower() in used or (n and new.lower() in taken):
