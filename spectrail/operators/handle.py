@@ -27,19 +27,36 @@ HIDDEN = ("ord_", "_time")
 
 
 class Handle:
-    def __init__(self, data: Dataset, frame: DataFrame, *, full: bool = False, overlay: frozenset[str] = frozenset(), log: tuple = ()) -> None:
-        self.data, self.frame, self.full, self.overlay, self.log = data, frame, full, overlay, log
+    """span: what ord_, a number from 0, stays below, if that is known; results then need no look at the data to be put in order."""
+
+    def __init__(self, data: Dataset, frame: DataFrame, *, full: bool = False, overlay: frozenset[str] = frozenset(), log: tuple = (), span: int | None = None, names: list[str] | None = None) -> None:
+        self.data, self.frame, self.full, self.overlay, self.log, self.span, self._names = data, frame, full, overlay, log, span, names
+
+    @property
+    def names(self) -> list[str]:
+        """The frame's columns."""
+        if self._names is None:
+            self._names = self.frame.columns
+        return self._names
+
+    def _sorted(self, rows: DataFrame, key: str = "ord_", *more: str) -> DataFrame:
+        """Rows in handle order. With a known span they are dealt by ranges of it at once; without, Spark reads the rows first to find ranges."""
+        if self.span is None:
+            return rows.orderBy(key, *more)
+        parts = int(self.data.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartitionById(parts, F.floor(F.col(key) * F.lit(float(parts)) / F.lit(float(max(1, self.span)))).cast("int")).sortWithinPartitions(key, *more)
 
     @classmethod
     def of(cls, data: Dataset, cached: bool = False) -> Handle:
         from spectrail.operators import cache
 
         frame = cache.whole(data) if cached else data.view()
-        return cls(data, frame.withColumn("ord_", F.col("spectrum_id_").cast("long")), full=True)
+        span = mf.n_spectra(data.manifest) + 1 if data.path is not None else None
+        return cls(data, frame.withColumn("ord_", F.col("spectrum_id_").cast("long")), full=True, span=span)
 
     def _with(self, frame: DataFrame, step: tuple | None = None, **more) -> Handle:
         log = None if step is None or self.log is None else (*self.log, step)
-        return Handle(self.data, frame, full=more.get("full", False), overlay=more.get("overlay", self.overlay), log=log)
+        return Handle(self.data, frame, full=False, overlay=self.overlay, log=log, span=more.get("span", self.span), names=more.get("names"))
 
     def __reduce__(self):
         """A pickled handle is its dataset's path and the steps taken."""
@@ -53,7 +70,7 @@ class Handle:
     # -- filters
 
     def _where(self, test: Column, step: tuple) -> Handle:
-        return self._with(self.frame.where(test), step)
+        return self._with(self.frame.where(test), step, names=self._names)
 
     def filter_ms_level(self, *levels: int) -> Handle:
         """Spectra of these levels; without levels all stay. A null level is none."""
@@ -75,7 +92,7 @@ class Handle:
             levels = [ms_level] if isinstance(ms_level, int) else list(ms_level)
             tested = pr.surely(pr.member(F.col("msLevel"), levels))
             return self._where((inside & tested) | ~tested, step)
-        if "_time" in self.frame.columns and "rtime" not in self.overlay:
+        if "_time" in self.names and "rtime" not in self.overlay:
             inside = pr.widened(F.col("_time"), low, high, 60.0) & inside
         return self._where(inside, step)
 
@@ -92,7 +109,7 @@ class Handle:
         if len(origins) > 1:
             place = F.array_position(F.array(*[F.lit(o) for o in dict.fromkeys(origins)]), column)
             frame = out.frame.withColumn("ord_", F.struct(place.alias("p"), F.col("ord_").alias("o")))
-            out = Handle(out.data, frame, overlay=out.overlay, log=out.log)
+            out = Handle(out.data, frame, overlay=out.overlay, log=out.log, names=out._names)
         return out
 
     def filter_precursor_mz_range(self, *mz: float) -> Handle:
@@ -121,7 +138,7 @@ class Handle:
         if self.data.kind == "native":
             if not allow_native:
                 raise UnsupportedError("filter_contains_mz needs points; pass allow_native=True to search peak lists", kind="native")
-            if "mz" in self.frame.columns:
+            if "mz" in self.names:
                 return self._where(pk.holds("mz", ranges), step)
             found = self.data.lists("mz").where(pk.holds("mz", ranges)).select("run_id", "spectrum_id_")
             return self._with(self.frame.join(found, ["run_id", "spectrum_id_"], "left_semi"), step)
@@ -171,7 +188,7 @@ class Handle:
         if self.full:
             return self._by_ids([i + 1 for i in index], step)
         placed = with_position(self.frame, "ord_", "_at")
-        return self._with(self._ordered(placed, "_at", index), step)
+        return self._with(self._ordered(placed, "_at", index), step, span=len(index))
 
     __getitem__ = take
 
@@ -184,7 +201,7 @@ class Handle:
                 return self._with(self.frame.where(F.col("spectrum_id_").between(ids[0], ids[-1])), step)
             if len(ids) <= INLINE:
                 return self._with(self.frame.where(F.col("spectrum_id_").isin(ids)), step)
-        return self._with(self._ordered(self.frame.withColumn("_at", F.col("spectrum_id_").cast("long")), "_at", ids), step)
+        return self._with(self._ordered(self.frame.withColumn("_at", F.col("spectrum_id_").cast("long")), "_at", ids), step, span=len(ids))
 
     def _ordered(self, frame: DataFrame, key: str, wanted: list[int]) -> DataFrame:
         """Rows whose key is wanted, as often and in the order that it is."""
@@ -225,7 +242,7 @@ class Handle:
             if (n := self.count()) != len(values):
                 raise SemanticError(f"{len(values)} values for {n} spectra", column=name)
             frame = placed.join(F.broadcast(own) if len(values) <= BROADCAST else own, "_at", "left").drop("_at")
-        return Handle(self.data, frame, full=self.full, overlay=self.overlay | {name}, log=None)
+        return Handle(self.data, frame, full=self.full, overlay=self.overlay | {name}, log=None, span=self.span)
 
     def placed(self, name: str = "place") -> DataFrame:
         """The frame with each spectrum's place in the handle, from 0."""
@@ -237,11 +254,11 @@ class Handle:
     # -- results
 
     def variables(self) -> list[str]:
-        own = [c for c in self.frame.columns if c not in HIDDEN]
+        own = [c for c in self.names if c not in HIDDEN]
         return [*own, *[c for c in self.data.sample_variables() if c not in own], *([] if "mz" in own else ["mz", "intensity"])]
 
     def ids(self) -> DataFrame:
-        return self.frame.select("ord_", "spectrum_id_").orderBy("ord_").select("spectrum_id_")
+        return self._sorted(self.frame.select("ord_", "spectrum_id_")).select("spectrum_id_")
 
     def count(self) -> int:
         """Of all spectra from the manifest; of a selection by a scan."""
@@ -251,7 +268,7 @@ class Handle:
 
     def _columns(self, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
         """The named variables and `keep`: overlaid and disk columns, then sample columns, then peaks."""
-        frame, have = self.frame, set(self.frame.columns)
+        frame, have = self.frame, set(self.names)
         missing = [c for c in names if c not in have]
         if self.log is not None and self.data.path is not None and self.data.kind == "native" and any(c in pk_names(self) for c in missing):
             # Lists are not kept in memory: one scan with the same filters has both, a join would read them all.
@@ -282,7 +299,7 @@ class Handle:
     def spectra_data(self, *columns: str) -> DataFrame:
         """The variables (all without names), one row a spectrum, in handle order."""
         columns = columns or tuple(self.variables())
-        return self._columns(columns, [F.col("ord_").alias("_o")]).orderBy("_o").drop("_o")
+        return self._sorted(self._columns(columns, [F.col("ord_").alias("_o")]), "_o").select(*[F.col(f"`{c}`") for c in columns])
 
     def peak_variables(self) -> list[str]:
         return self.data.peak_variables()
@@ -301,8 +318,8 @@ class Handle:
         rows = rows.select("ord_", "spectrum_id_", F.transform(zipped, lambda p: F.struct(*[p[c].alias(c) for c in columns])).alias("peaks"))
         if long:
             rows = rows.select("ord_", "spectrum_id_", F.posexplode("peaks").alias("peak_", "p")).select("ord_", "spectrum_id_", "peak_", "p.*")
-            return rows.orderBy("ord_", "peak_").drop("ord_")
-        return rows.orderBy("ord_").drop("ord_")
+            return self._sorted(rows, "ord_", "peak_").drop("ord_")
+        return self._sorted(rows).drop("ord_")
 
     def mz(self) -> DataFrame:
         return self.spectra_data("mz")
@@ -320,12 +337,12 @@ class Handle:
         if self.data.kind != "native":  # sums need no lists
             sums = self._own_points().groupBy("spectrum_id_").agg(F.sum("intensity").alias("s"))
             rows = self.frame.select("ord_", "spectrum_id_").join(sums, "spectrum_id_", "left")
-            return rows.select("ord_", "spectrum_id_", F.coalesce("s", F.lit(0.0)).alias("ionCount")).orderBy("ord_").drop("ord_")
+            return self._sorted(rows.select("ord_", "spectrum_id_", F.coalesce("s", F.lit(0.0)).alias("ionCount"))).drop("ord_")
         rows = self._columns(["intensity"], ["ord_", "spectrum_id_"])
-        return rows.select("ord_", "spectrum_id_", pk.summed().alias("ionCount")).orderBy("ord_").drop("ord_")
+        return self._sorted(rows.select("ord_", "spectrum_id_", pk.summed().alias("ionCount"))).drop("ord_")
 
     def lengths(self) -> DataFrame:
-        return self._columns(["mz"], ["ord_", "spectrum_id_"]).select("ord_", "spectrum_id_", pk.count().alias("n_peaks")).orderBy("ord_").drop("ord_")
+        return self._sorted(self._columns(["mz"], ["ord_", "spectrum_id_"]).select("ord_", "spectrum_id_", pk.count().alias("n_peaks"))).drop("ord_")
 
     def contains_mz(self, mz: Sequence[float] | float, tolerance=0.0, ppm=20.0) -> DataFrame:
         """Whether each spectrum has a peak in some window."""
@@ -336,7 +353,7 @@ class Handle:
         else:
             hits = self._own_points().where(pr.either([pr.in_range(F.col("mz"), a, b) for a, b in ranges])).select("spectrum_id_", F.lit(True).alias("_hit")).distinct()
             rows = self.frame.select("ord_", "spectrum_id_").join(hits, "spectrum_id_", "left").select("ord_", "spectrum_id_", F.col("_hit").isNotNull().alias("contains"))
-        return rows.orderBy("ord_").drop("ord_")
+        return self._sorted(rows).drop("ord_")
 
     def split(self, name: str) -> dict:
         """A handle for each value of a variable (a null is one), in order of the values. The dictionary is as long as there are values."""
@@ -347,8 +364,8 @@ class Handle:
         return [r[0] for r in self.frame.select("msLevel").where("msLevel IS NOT NULL").distinct().orderBy("msLevel").collect()]
 
     def _one(self, name: str, kind: str) -> DataFrame:
-        c = F.col(name) if name in self.frame.columns else F.lit(None)
-        return self.frame.select("ord_", c.cast(kind).alias(name)).orderBy("ord_").drop("ord_")
+        c = F.col(name) if name in self.names else F.lit(None)
+        return self._sorted(self.frame.select("ord_", c.cast(kind).alias(name))).drop("ord_")
 
     def prec_scan_num(self) -> DataFrame:
         return self._one("precScanNum", "int")
@@ -366,13 +383,12 @@ class Handle:
         return self._one("dataStorage", "string")
 
     def flat(self, column: str = "mz") -> DataFrame:
-        """One peak column of all spectra, one after another, in handle order: ord_ and the value of each peak."""
-        rows = self.peaks_data(column, long=True)
-        return rows.select("spectrum_id_", "peak_", column)
+        """One peak column of all spectra, one after another, in handle order, with the spectrum and the peak's place in it."""
+        return self.peaks_data(column, long=True)
 
     def as_view(self, name: str) -> str:
         """Registers the handle's variables as a temporary view for SQL; gives its name. `drop_view` forgets it."""
-        self.frame.select(*[c for c in self.frame.columns if c not in HIDDEN]).createOrReplaceTempView(name)
+        self.frame.select(*[c for c in self.names if c not in HIDDEN]).createOrReplaceTempView(name)
         return name
 
     def drop_view(self, name: str) -> bool:
@@ -427,7 +443,7 @@ def in_some(frame: DataFrame, column: str, ranges: list[tuple[float, float]]) ->
 
 
 def pk_names(handle: Handle) -> tuple[str, ...]:
-    return tuple(handle.data.peak_variables()) if "mz" not in handle.frame.columns else ()
+    return tuple(handle.data.peak_variables()) if "mz" not in handle.names else ()
 
 
 def _replay(data: Dataset, log: tuple) -> Handle:
