@@ -27,7 +27,7 @@ from .tokens import slices
 #: The classifier is fitted on at most so many toxic and so many clean documents, chosen by a hash of doc_id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 2400
 #: Their texts have at most so many bytes, all together, of either kind; a document that would pass this is not sampled.
-SAMPLE_BYTES = 16_000_000
+SAMPLE_BYTES = 8_000_000
 #: Training takes `STEPS` batches, dealt over at least EPOCHS epochs.
 STEPS, EPOCHS, BATCH, RATE = 600, 8, 64, 0.01
 #: Windows that a toxic document gives at most, if they count at least half as much as its best one.
