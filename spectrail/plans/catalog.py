@@ -326,3 +326,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-level spectra of a time range or any with a matching precursor, with their peaks."""
     h = _lists(spark, sf_dir).filter_rt(0, 1800, ms_level=1).filter_precursor_mz_range(0, float("inf"))
     return h.peaks_data(long=True)
+
+
+from . import on_files  # noqa: E402, F401  registers the queries over files
