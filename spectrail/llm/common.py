@@ -1,15 +1,13 @@
-"""What the corpus operators share: table access, materialisation in the shared folder, range cuts."""
+"""What the corpus operators share: table access, materialisation in the shared folder, joins with hot keys."""
 
 from __future__ import annotations
 
 import atexit
-import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 #: Above this many rows a small side is no longer broadcast; the join is shuffled instead.
 BROADCAST_ROWS = 200_000
@@ -109,62 +107,3 @@ def spread_join(big: DataFrame, rows: int, few: DataFrame, key: str, n: str) ->
     hot = F.broadcast(few.where(F.col(n) > share).drop(n))
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col(n) <= share).drop(n), key)
     return big.join(hot, key).unionByName(rest)
-
-
-def range_cuts(df: DataFrame, column: str, parts: int) -> list:
-    """At most parts - 1 ascending cut values that deal the non-null values of `column` about evenly.
-
-    One pass over that column alone; the driver gets `parts` numbers.
-    """
-    if parts < 2:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    got = df.select(F.percentile_approx(column, shares, max(10_000, 20 * parts)).alias("c")).first()[0]
-    return sorted({x for x in got or [] if x is not None})
-
-
-def struct_cuts(df: DataFrame, column: str, parts: int, each: int = 50) -> list:
-    """At most parts - 1 ascending values that deal a column of structs about evenly.
-
-    About `each` rows a part are looked at to place the cuts, as Spark does for its own ranges; results never depend on where
-    they are.
-    """
-    if parts < 2 or not (n := df.count()):
-        return []
-    seen = df.sample(min(1.0, parts * each / n), 7).select(F.col(column)) if n > parts * each else df.select(F.col(column))
-    order = lambda r: [(x is not None, x if x is not None else 0) for x in r]
-    found = sorted((r[0] for r in seen.collect()), key=order)
-    cuts = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
-    return [c for i, c in enumerate(cuts) if not i or c != cuts[i - 1]]
-
-
-def struct_bucket(value: Column, cuts: list, kind: DataType) -> Column:
-    """How many of the cuts are not above the value (nulls are least): a search in two steps, about 2 sqrt(cuts) comparisons."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    one = lambda c: F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(c, kind, strict=True)])
-    coarse = F.array(*[one(b[-1]) for b in blocks])
-    fine = F.array(*[F.array(*[one(c) for c in b]) for b in blocks])
-    block = F.size(F.filter(coarse, lambda c: c <= value))
-    inner = F.coalesce(F.size(F.filter(F.get(fine, block), lambda c: c <= value)), F.lit(0))
-    return (F.least(block * step, F.lit(len(cuts))) + F.when(block < len(blocks), inner).otherwise(0)).cast("int")
-
-
-def range_bucket(column: str | Column, cuts: list) -> Column:
-    """How many of the cuts are below the value (null: 0): a search in two steps, about 2 sqrt(cuts) comparisons."""
-    c = F.col(column) if isinstance(column, str) else column
-    if not cuts:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    coarse = F.array(*[F.lit(b[-1]) for b in blocks])
-    fine = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
-    block = F.size(F.filter(coarse, lambda x: x < c))
-    inner = F.coalesce(F.get(fine, block), F.array().cast(fine_type(cuts)))
-    return F.when(c.isNull(), 0).otherwise(F.least(block * step, F.lit(len(cuts))) + F.size(F.filter(inner, lambda x: x < c))).cast("int")
-
-
-def fine_type(cuts: list) -> str:
-    return "array<bigint>" if isinstance(cuts[0], int) else "array<double>" if isinstance(cuts[0], float) else "array<string>"

@@ -14,8 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import frame, odd_rows, some_docs
-from spectrail.llm import bigru, components, decontaminate, html, mixing, secrets, sharding, simhash, token_files, tokens, toxicity, trigrams, winnowing
-from spectrail.llm.common import range_bucket, range_cuts
+from spectrail.llm import bigru, common, components, decontaminate, html, mixing, secrets, sharding, simhash, token_files, tokens, toxicity, trigrams, winnowing
 from spectrail.llm.fm_index import FmIndex
 from spectrail.llm.gray_index import GrayIndex, gray_rank, linked
 from spectrail.llm.html_tree import main_text
@@ -48,12 +47,13 @@ def odd(spark):
 # -- common
 
 
-def test_range_bucket(spark):
-    df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "k long")
-    cuts = range_cuts(df, "k", 37)
-    got = df.select("k", range_bucket("k", cuts).alias("b")).collect()
-    assert all(r.b == sum(c < r.k for c in cuts) for r in got) and len({r.b for r in got}) > 30
-    assert spark.createDataFrame([(None,)], "k long").select(range_bucket("k", [3])).first()[0] == 0 and range_cuts(df.where("k < 0"), "k", 4) == []
+def test_hot_keys_are_joined_whole(spark):
+    big = spark.createDataFrame([(0 if i % 3 == 0 else i % 40, i) for i in range(900)], "k long, v long").repartition(5)
+    few = big.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    got = common.spread_join(big, 900, few, "k", "n")
+    want = big.join(few.drop("n"), "k")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert common.fresh(["a", "_A", "b"], "a", "c", "c") == ["__a", "c", "_c"]
 
 
 # -- op1
@@ -94,6 +94,34 @@ def test_sharding_large_group(spark):
     assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 15
 
 
+def test_sharding_cuts_few_links(spark):
+    """Links cut (members of a group outside its fullest shard): against the hashed first shards, and a packing that sees all groups at once."""
+    rng = random.Random(6)
+    sizes = [700, 300] + [rng.randint(10, 40) for _ in range(30)] + [rng.randint(2, 5) for _ in range(250)]
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"single {i}" for i in range(900)]
+    rng.shuffle(texts)
+    got = sharding.shard(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    check_shards(got, len(texts), 8)
+
+    def cut(where):
+        held = {}
+        for t, s in where:
+            held.setdefault(t, []).append(s)
+        return sum(len(v) - max(v.count(s) for s in set(v)) for v in held.values())
+
+    room = [len(texts) // 8] * 8
+    packed = []
+    for g, n in sorted(enumerate(sizes), key=lambda x: -x[1]):
+        while n:
+            s = max(range(8), key=lambda s: room[s])
+            some = min(n, room[s])
+            packed += [(f"group {g}", s)] * some
+            room[s], n = room[s] - some, n - some
+    first = cut((t, zlib.crc32(f"{t}{i}".encode()) % 8) for i, t in enumerate(texts))
+    found, best = cut((texts[r.doc_id], r.shard) for r in got), cut(packed)
+    assert best <= found <= best + 0.15 * (first - best), (found, best, first)
+
+
 def test_sharding_writes_texts(spark, docs, rows, tmp_path):
     sharding.write(docs, str(tmp_path / "out"), shards=4)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
