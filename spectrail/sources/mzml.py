@@ -1,4 +1,4 @@
-"""mzML files, plain or gzipped: one task a file, spectra streamed in batches."""
+"""Files of spectra: mzML and mzXML, plain or gzipped, and netCDF. One task a file, spectra streamed in batches."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from spectrail.errors import FormatError, SemanticError, UnsupportedError
 from spectrail.ship import ship
 
-#: File names that are taken for spectra; those of the second group need readers that are not here.
-READ, UNREAD = ("mzml", "mzml.gz"), ("mzxml", "mzxml.gz", "cdf", "nc")
+#: Endings of files that are taken for spectra.
+READ = ("mzml", "mzml.gz", "mzxml", "mzxml.gz", "cdf", "nc")
 BATCH = 1000
 
 #: PSI-MS terms of dissociation methods, and the one that only supplements another.
@@ -50,21 +50,18 @@ SCHEMA = (
 
 def _ending(name: str) -> str:
     low = os.path.basename(name).lower()
-    for e in (*READ, *UNREAD):
+    for e in READ:
         if low.endswith("." + e):
             return e
     return "" if "." not in low else low.rsplit(".", 1)[1]
 
 
 def check_files(files: Sequence[str]) -> None:
-    """Files must exist; names without extension are taken for mzML if they begin like it."""
+    """Files must exist; names without extension are taken for what they begin like."""
     if missing := [f for f in files if not os.path.isfile(f)]:
         raise FormatError(f"no such files: {missing[:5]}", files=missing)
     for f in files:
-        end = _ending(f)
-        if end in UNREAD:
-            raise UnsupportedError(f"{f}: this format has no reader here", file=f)
-        if end not in READ and (end or not is_mzml(f)):
+        if kind_of(f) is None:
             raise SemanticError(f"{f} is no file of spectra", file=f)
 
 
@@ -74,10 +71,28 @@ def _opened(name: str):
     return gzip.open(name, "rb") if packed else open(name, "rb")
 
 
-def is_mzml(name: str) -> bool:
+def kind_of(name: str) -> str | None:
+    """mzml, mzxml or cdf: by the ending, without one by the file's beginning."""
+    end = _ending(name).removesuffix(".gz").replace("nc", "cdf")
+    if end in ("mzml", "mzxml", "cdf"):
+        return end
+    if end:
+        return None
     with _opened(name) as f:
         head = f.read(4096)
-    return b"<mzML" in head or b"<indexedmzML" in head
+    if head[:3] == b"CDF":
+        return "cdf"
+    return "mzxml" if b"<mzXML" in head else "mzml" if b"<mzML" in head or b"<indexedmzML" in head else None
+
+
+def _spectra_of(name: str, at: int) -> Iterator[dict]:
+    from . import mzxml, netcdf
+
+    if (kind := kind_of(name)) == "cdf":
+        yield from netcdf.spectra(name, name, at)
+        return
+    with _opened(name) as f:
+        yield from (mzxml.spectra if kind == "mzxml" else spectra)(f, name, at)
 
 
 def _local(tag: str) -> str:
@@ -214,15 +229,14 @@ def read_mzml(spark: SparkSession, files: Sequence[str], batch: int = BATCH) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, name in zip(b.column("at").to_pylist(), b.column("name").to_pylist(), strict=True):
-                with _opened(name) as f:
-                    held: list[dict] = []
-                    for s in spectra(f, name, at):
-                        held.append(s)
-                        if len(held) == batch:
-                            yield pa.RecordBatch.from_pylist(held, schema=schema)
-                            held = []
-                    if held:
+                held: list[dict] = []
+                for s in _spectra_of(name, at):
+                    held.append(s)
+                    if len(held) == batch:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     todo = spark.createDataFrame([(i, os.path.abspath(f)) for i, f in enumerate(files)], "at int, name string")
     return todo.repartitionById(len(files), F.col("at")).mapInArrow(run, SCHEMA)

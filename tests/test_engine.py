@@ -18,6 +18,7 @@ from spectrail.functions.vocab import encode, translate
 from spectrail.operators import cache
 from spectrail.sources import manifest as mf
 from spectrail.sources import runs as rn
+from spectrail.sources.mzml import read_mzml
 
 
 def ids(handle):
@@ -345,14 +346,157 @@ def test_mzml(spark, tmp_path):
     assert api.from_mzml(spark, [one], h.data.path, overwrite=True).count() == 2
     with pytest.raises(FormatError):
         api.from_mzml(spark, [str(tmp_path / "none.mzML")], str(tmp_path / "x"))
-    (tmp_path / "a.mzXML").write_text("")
     (tmp_path / "a.txt").write_text("")
-    with pytest.raises(UnsupportedError):
-        api.from_mzml(spark, [str(tmp_path / "a.mzXML")], str(tmp_path / "x"))
     with pytest.raises(SemanticError):
         api.from_mzml(spark, [str(tmp_path / "a.txt")], str(tmp_path / "x"))
 
 
+def test_mzml_is_parsed_once(spark, tmp_path):
+    """Each pass over what was parsed leaves a mark; converting leaves one."""
+    marks = str(tmp_path / "marks")
+    os.makedirs(marks)
+    rows = read_mzml(spark, [mzml(tmp_path / "one.mzML", [(1, 1.0 + i, None, [100.0 + i], [1.0]) for i in range(5)])]).drop("file_")
+    data = api.create(spark, str(tmp_path / "ds"), rows.mapInArrow(counted(marks), rows.schema))
+    assert data.spectra().count() == 5 and len(os.listdir(marks)) == 1
+
+
+def counted(marks):
+    def run(batches):
+        import uuid
+
+        some = False
+        for b in batches:
+            if b.num_rows and not some:
+                some = True
+                open(os.path.join(marks, uuid.uuid4().hex), "w").close()
+            yield b
+
+    return run
+
+
+def test_ids_of_a_source_in_no_fixed_order(spark, tmp_path):
+    """Rows that come in another order each time they are computed are written once."""
+    df = large(spark, 600).withColumn("place", F.rand()).repartition(7, F.rand()).drop("place", "dataOrigin")
+    data = api.create(spark, str(tmp_path / "ds"), df)
+    got = data.spectra().spectra_data("spectrum_id_", "totIonCurrent").collect()
+    assert [r.spectrum_id_ for r in got] == list(range(1, 601)) and sorted(r.totIonCurrent for r in got) == [float(i) for i in range(1, 601)]
+
+
+MZXML = """<?xml version="1.0"?><mzXML xmlns="http://sashimi.sourceforge.net/schema_revision/mzXML_3.2"><msRun scanCount="4"><dataProcessing centroided="1"/>
+<scan num="3" msLevel="1" peaksCount="2" polarity="+" retentionTime="PT60S" totIonCurrent="3" lowMz="100"><peaks precision="32" byteOrder="network" contentType="m/z-int" compressionType="none">{a}</peaks>
+<scan num="4" msLevel="2" peaksCount="1" polarity="-" retentionTime="PT1M3S" collisionEnergy="27" centroided="0" filterLine="f"><precursorMz precursorScanNum="3" precursorIntensity="5.5" precursorCharge="2">100.5</precursorMz><peaks precision="64" pairOrder="m/z-int" compressionType="zlib">{b}</peaks></scan>
+<scan num="5" msLevel="2" peaksCount="0" retentionTime="64"><precursorMz>7.25</precursorMz><peaks precision="32"></peaks></scan></scan>
+<scan num="6" peaksCount="0" retentionTime="PT2H"/></msRun></mzXML>"""
+
+
+def test_mzxml(spark, tmp_path):
+    import base64
+    import struct
+    import zlib
+
+    text = MZXML.format(a=base64.b64encode(struct.pack(">4f", 100.5, 1, 200.25, 2)).decode(), b=base64.b64encode(zlib.compress(struct.pack(">2d", 50.1, 3))).decode())
+    (tmp_path / "a.mzXML").write_text(text)
+    h = api.from_mzml(spark, [str(tmp_path / "a.mzXML")], str(tmp_path / "ds"))
+    rows = [tuple(r) for r in h.spectra_data("acquisitionNum", "msLevel", "rtime", "polarity", "centroided", "precursorMz", "precScanNum", "precursorCharge", "precursorIntensity", "collisionEnergy", "filterString", "totIonCurrent", "lowMZ", "scanIndex").collect()]
+    assert rows == [
+        (3, 1, 60.0, 1, True, None, None, None, None, None, None, 3.0, 100.0, 0), (4, 2, 63.0, 0, False, 100.5, 3, 2, 5.5, 27.0, "f", None, None, 1),
+        (5, 2, 64.0, None, True, 7.25, None, None, None, None, None, None, None, 2), (6, 1, 7200.0, None, True, None, None, None, None, None, None, None, None, 3),
+    ]
+    assert [[tuple(p) for p in r.peaks] for r in h.peaks_data().collect()] == [[(100.5, 1.0), (200.25, 2.0)], [(50.1, 3.0)], [], []]
+
+
+def classic(path, record, version=1):
+    """A classic netCDF file of two spectra; points in the record dimension or in one of their own."""
+    import struct
+
+    def name(x):
+        b = x.encode()
+        return struct.pack(">i", len(b)) + b + b"\0" * (-len(b) % 4)
+
+    def text(key, x):
+        return name(key) + struct.pack(">ii", 2, len(x)) + x.encode() + b"\0" * (-len(x) % 4)
+
+    points = [(100.5, 10), (101.5, 11), (102.5, 12)]
+    flat = {"scan_acquisition_time": (6, ">2d", [1.5, 2.5]), "scan_index": (4, ">2i", [0, 2]), "point_count": (4, ">2i", [2, 1]), "total_intensity": (6, ">2d", [21.0, 12.0])}
+    variables = list(flat) + ["mass_values", "intensity_values"]
+    place = ">q" if version == 2 else ">i"
+
+    def header(at):
+        out = b"CDF" + bytes([version]) + struct.pack(">i", 3 if record else 0) + struct.pack(">ii", 10, 2) + name("scan_number") + struct.pack(">i", 2) + name("point_number") + struct.pack(">i", 0 if record else 3)
+        out += struct.pack(">ii", 12, 1) + text("test_ionization_polarity", "Negative Polarity") + struct.pack(">ii", 11, len(variables))
+        for v in variables:
+            kind, size = (flat[v][0], struct.calcsize(flat[v][1])) if v in flat else (5, 4) if v == "mass_values" else (3, 2)
+            scale = struct.pack(">ii", 12, 1) + name("scale_factor") + struct.pack(">iid", 6, 1, 2.0) if v == "intensity_values" else struct.pack(">ii", 0, 0)
+            vsize = size if v in flat else 4 if record else -(-size * 3 // 4) * 4
+            out += name(v) + struct.pack(">ii", 1, 0 if v in flat else 1) + scale + struct.pack(">ii", kind, vsize) + struct.pack(place, at.get(v, 0))
+        return out
+
+    at, end = {}, len(header({}))
+    for v in variables:
+        at[v] = end
+        end += struct.calcsize(flat[v][1]) if v in flat else 4 if record else 12 if v == "mass_values" else 8
+    body = b"".join(struct.pack(f, *x) for _, f, x in flat.values())
+    if record:
+        body += b"".join(struct.pack(">fhxx", m, i) for m, i in points)
+    else:
+        body += struct.pack(">3f", *[m for m, _ in points]) + struct.pack(">3hxx", *[i for _, i in points])
+    with open(path, "wb") as f:
+        f.write(header(at) + body)
+    return str(path)
+
+
+def test_netcdf(spark, tmp_path):
+    made = [classic(tmp_path / "a.cdf", True), classic(tmp_path / "b.nc", False), classic(tmp_path / "c", False, 2)]
+    h = api.from_mzml(spark, made, str(tmp_path / "ds"))
+    rows = [tuple(r) for r in h.spectra_data("run_id", "msLevel", "rtime", "polarity", "totIonCurrent", "peaksCount").collect()]
+    assert rows == [(r, 1, *x) for r in "abc" for x in ((1.5, 0, 21.0, 2), (2.5, 0, 12.0, 1))]
+    assert [[tuple(p) for p in r.peaks] for r in h.peaks_data().collect()] == [[(100.5, 20.0), (101.5, 22.0)], [(102.5, 24.0)]] * 3
+    (tmp_path / "d.cdf").write_bytes(b"HDF")
+    with pytest.raises(Exception, match="no classic netCDF"):
+        api.from_mzml(spark, [str(tmp_path / "d.cdf")], str(tmp_path / "x"))
+
+
+def test_foreign_manifest_and_append(spark, tmp_path):
+    ds = api.create(spark, str(tmp_path / "ds"), tiny(spark))
+    ds = api.append(ds, tiny(spark).withColumn("more", F.lit(1)))
+    assert ds.run_ids == ["file-a", "file-b", "file-a-1", "file-b-1"] and [r["uid_base"] for r in ds.manifest["runs"]] == [1, 3, 4, 6] and ds.manifest["generation"] == 2
+    own = json.load(open(os.path.join(ds.path, mf.FILE)))
+    os.remove(os.path.join(ds.path, mf.FILE))
+    (tmp_path / "ds" / "Other.json").write_text(json.dumps(own | {"format": "Other", "sources": [1]}))
+    other = api.append(api.Dataset.open(spark, ds.path), tiny(spark))
+    assert ids(other.spectra()) == list(range(1, 10)) and mf.read(ds.path)["sources"] == [1] and not os.path.exists(os.path.join(ds.path, mf.FILE))
+    (tmp_path / "ds" / "Second.json").write_text(json.dumps(own))
+    with pytest.raises(FormatError):
+        api.Dataset.open(spark, ds.path)
+    a = archive(tmp_path, "A.mzpeak", 2)
+    arc = api.create_from_archives(spark, str(tmp_path / "arc"), [a])
+    m = json.load(open(os.path.join(arc.path, mf.FILE)))
+    m["runs"][0]["kind"], m["format"] = "points", "Other"
+    os.remove(os.path.join(arc.path, mf.FILE))
+    (tmp_path / "arc" / "Other.json").write_text(json.dumps(m))
+    more = api.add_archives(spark, arc.path, [archive(tmp_path, "B.mzpeak", 3)])
+    assert more.kind == "archive" and more.spectra().count() == 5 and {r["kind"] for r in more.manifest["runs"]} == {"points"}
+
+
+def test_answers_that_were_wrong(spark, big):
+    h = big.spectra()
+    some = h.filter_ms_level(2)
+    for act in (lambda: some.take([0, 1500]), lambda: some.take(["2", "1"]), lambda: h.take(["x"]), lambda: h.take([-1])):
+        with pytest.raises(ReferenceError):
+            act()
+    assert ids(some.take(["4", "2"])) == [4, 2] and len(h.take(range(20)).split("totIonCurrent")) == 20
+    parts = [h.take([i]) for i in range(60, 0, -1)]
+    merged = parts[0].merge(*parts[1:])
+    assert ids(merged) == list(range(61, 1, -1)) and ids(merged.take([59, 0])) == [2, 61] and ids(merged.filter_data_origin("file-b", "file-a").merge(h.take([0]))) == [*range(61, 1, -1), 1]
+    from spectrail.sources.dataset import union_by_name
+
+    both = union_by_name([spark.createDataFrame([(16777217,)], "x int"), spark.createDataFrame([(0.5,)], "x float")])
+    assert both.dtypes == [("x", "double")] and sorted(r.x for r in both.collect()) == [0.5, 16777217.0]
+    windows = [100 + 0.2 * i for i in range(300)]
+    few = h.frame.where(" OR ".join(f"precursorMz BETWEEN {w - 0.05} AND {w + 0.05}" for w in windows))
+    assert ids(h.filter_precursor_mz_values(windows, ppm=0, tolerance=0.05)) == sorted(r.spectrum_id_ for r in few.select("spectrum_id_").collect())
+
+
 # -- functions
 
 
