@@ -6,9 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrail.functions.order import cuts_of, place_among
+
 #: Above this many rows a small side is no longer broadcast; the join is shuffled instead.
 BROADCAST_ROWS = 200_000
 
@@ -107,3 +109,15 @@ def spread_join(big: DataFrame, rows: int, few: DataFrame, key: str, n: str) ->
     hot = F.broadcast(few.where(F.col(n) > share).drop(n))
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col(n) <= share).drop(n), key)
     return big.join(hot, key).unionByName(rest)
+
+
+def ranges(rows: DataFrame, key: str, at: str, parts: int) -> tuple[int, Column]:
+    """How many cuts deal the rows into about `parts` even ranges, and each row's range, from 0, in the order of column `at`.
+
+    `at` is a struct that begins with the key and makes every row different. The keys alone are looked at first, as they are cheap to
+    read; where some are so frequent that no `parts` different cuts are found, the whole structs are.
+    """
+    for c in (key, at):
+        cuts = cuts_of(rows.select(c), c, parts)
+        if c == at or len(cuts) == parts - 1:
+            return len(cuts), place_among(F.col(c), cuts, rows.schema[c].dataType)

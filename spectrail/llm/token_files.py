@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrail.functions.order import cuts_of, place_among
 from spectrail.ship import ship
 
-from .common import new_dir, parts_of
+from .common import new_dir, parts_of, ranges
 from .tokens import Encoder, kept, kind_for, slices, tokenizer_path, vocabulary_size
 
 END_ID = 0
@@ -82,9 +81,8 @@ def write_ids(docs: DataFrame, folder: str, *, path: str | None = None, end_id:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     parts = parts or parts_of(rows)
     rows = rows.withColumn("at", F.struct(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i")))
-    cuts = cuts_of(rows.select("at"), "at", parts)
-    n = len(cuts) + 1
-    rows = rows.withColumn("part", place_among(F.col("at"), cuts, rows.schema["at"].dataType)).repartitionById(n, F.col("part"))
+    cuts, place = ranges(rows, "doc_id", "at", parts)
+    rows = rows.withColumn("part", place).repartitionById(cuts + 1, F.col("part"))
     rows = rows.sortWithinPartitions("part", "at").select("doc_id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from spectrail.functions.order import cuts_of, place_among
-
-from .common import fresh, parts_of
+from .common import fresh, parts_of, ranges
 from .secrets import _let
 
 K = 5
@@ -92,9 +90,9 @@ def with_next(rows: DataFrame, key: str, carried: list[str], derived: dict[str,
     spark = rows.sparkSession
     at, where, last, guard = fresh(rows.columns, "at", "range", "last", "guard")
     rows = rows.withColumn(at, F.struct(F.col(key).alias("k"), F.xxhash64(*carried).alias("h"), F.monotonically_increasing_id().alias("i")))
-    cuts = cuts_of(rows.select(at), at, parts_of(rows))
+    cuts, place = ranges(rows, key, at, parts_of(rows))
     # Range 0 has the largest keys; null is the smallest.
-    rows = rows.withColumn(where, len(cuts) - place_among(F.col(at), cuts, rows.schema[at].dataType))
+    rows = rows.withColumn(where, cuts - place)
     heads = rows.groupBy(where).agg(F.max(at).alias(at)).collect()  # one key a range
     used = sorted(r[where] for r in heads)
     tops = [(r[at].k, r[at].h, used[used.index(r[where]) - 1]) for r in heads]
