@@ -276,7 +276,9 @@ class Handle:
         if missing:
             samples = self.data.samples()
             if extra := [c for c in missing if c in samples.columns]:
-                frame = frame.join(F.broadcast(samples.select("run_id", *extra)), "run_id", "left")  # a row a run
+                rows = samples.select("run_id", *extra)  # a row a run
+                few = self.data.path is not None and len(self.data.run_ids) <= BROADCAST
+                frame = frame.join(F.broadcast(rows) if few else rows, "run_id", "left")
             if wanted := [c for c in missing if c in pk_names(self)]:
                 frame = self._with_points(frame, wanted)
             if unknown := [c for c in missing if c not in extra and c not in wanted]:

@@ -199,7 +199,7 @@ def mzml(spark: SparkSession, sf_dir: str) -> list[str]:
                     precursor = f'<precursorList><precursor spectrumRef="scan={max(0, i - 1) + 1}"><isolationWindow><cvParam accession="MS:1000827" value="{ion!r}"/><cvParam accession="MS:1000828" value="0.5"/><cvParam accession="MS:1000829" value="1.5"/></isolationWindow><selectedIonList><selectedIon><cvParam accession="MS:1000744" value="{ion!r}"/></selectedIon></selectedIonList><activation>{terms}</activation></precursor></precursorList>'
                 polarity = "" if r["scan_polarity"] is None else f'<cvParam accession="{"MS:1000130" if r["scan_polarity"] == 1 else "MS:1000129"}"/>'
                 head = f'<spectrum index="{i}" id="scan={i + 1}" defaultArrayLength="{len(r["mz"] or [])}"><cvParam accession="MS:1000511" value="{r["ms_level"]}"/>{polarity}'
-                scan = f'<scanList><scan><cvParam accession="MS:1000016" value="{r["time"]!r}" unitName="minute"/></scan></scanList>'
+                scan = f'<scanList><scan><cvParam accession="MS:1000016" value="{r["time"]!r}" unitName="minute"/><cvParam accession="MS:1000512" value="{i} &lt; &quot;a&quot; &amp; b"/></scan></scanList>'
                 data = array(r["mz"] or [], MZ_ARRAY, packed, "d") + array(r["intensity"] or [], INTENSITY_ARRAY, not packed, "f")
                 f.write(f"{head}{scan}{precursor}<binaryDataArrayList>{data}</binaryDataArrayList></spectrum>")
             f.write("</spectrumList></run></mzML>")

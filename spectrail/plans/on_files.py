@@ -8,7 +8,7 @@ import pickle
 import shutil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectrail import api
@@ -118,16 +118,29 @@ def file_schema(spark, sf_dir):
     return _rows(spark, [(f.name, f.dataType.simpleString()) for f in files.native(spark, sf_dir).raw().schema.fields], "column string, type string")
 
 
+VARIABLES = [
+    "spectrum_id_", "run_id", "spectrum_index", "msLevel", "rtime", "polarity", "centroided", "spectrumId", "acquisitionNum", "scanIndex", "precScanNum", "precursorMz", "precursorCharge", "precursorIntensity",
+    "collisionEnergy", "isolationWindowTargetMz", "isolationWindowLowerMz", "isolationWindowUpperMz", "totIonCurrent", "basePeakMZ", "basePeakIntensity", "lowMZ", "highMZ", "peaksCount", "injectionTime",
+    "filterString", "scanWindowLowerLimit", "scanWindowUpperLimit", "instrumentConfigurationId", "spectrumType", "activationType", "dataOrigin", "dataStorage", "customer", "mz", "intensity", "sn",
+]
+
+
+@_files(_values([(v,) for v in VARIABLES], "variable"))
+def file_variables(spark, sf_dir):
+    """All variables that a handle gives: the vocabulary's, written or not, and the dataset's own."""
+    return _rows(spark, [(v,) for v in files.native(spark, sf_dir).spectra().variables()], "variable string")
+
+
 @_files("SELECT * FROM (VALUES ('mz'), ('intensity'), ('sn')) v(variable)")
 def file_peak_variables(spark, sf_dir):
     return _rows(spark, [(c,) for c in files.native(spark, sf_dir).spectra().peak_variables()], "variable string")
 
 
-@_files("SELECT 'native' AS kind, 5 AS runs, count(*) AS n, true AS named, true AS writes FROM spectra")
+@_files("SELECT 'native' AS kind, 5 AS runs, count(*) AS n, true AS named, true AS writes, true AS threads FROM spectra")
 def file_summary(spark, sf_dir):
     h = files.native(spark, sf_dir).spectra()
     s = h.summary()
-    return _rows(spark, [(s["kind"], s["runs"], h.count(), s["path"] in repr(h), h.supports_write_to())], "kind string, runs int, n long, named boolean, writes boolean")
+    return _rows(spark, [(s["kind"], s["runs"], h.count(), s["path"] in repr(h), h.supports_write_to(), h.options(spark)["parallelism"] > 0)], "kind string, runs int, n long, named boolean, writes boolean, threads boolean")
 
 
 @_files("""SELECT (row_number() OVER (ORDER BY spectrum_id_ DESC))::INTEGER AS spectrum_id_, (rtime + 1000) / 60::DOUBLE * 60::DOUBLE AS rtime, tic AS "totIonCurrent", (SELECT count(*) FROM points p WHERE p.spectrum_id_ = s.spectrum_id_)::INTEGER AS n_peaks
@@ -326,7 +339,7 @@ ERRORS = [
     ("a place beyond the end", "reference"), ("a name that is not there", "reference"), ("an unknown variable", "semantic"), ("an unknown peak column", "unsupported"), ("ids replaced", "unsupported"), ("peaks replaced", "unsupported"),
     ("too few values", "semantic"), ("an id of no run", "reference"), ("no dataset", "format"), ("a full folder", "format"), ("a stale manifest", "stale"), ("two writers", "conflict"), ("no archive", "archive"),
     ("an unknown run in the sample table", "study"), ("a sample column that hides a variable", "semantic"), ("no sample table", "capability"), ("an unknown representation", "capability"), ("a projection of a native dataset", "unsupported"),
-    ("points of a native dataset", "unsupported"), ("runs that differ by case", "study"), ("a missing key", "semantic"),
+    ("points of a native dataset", "unsupported"), ("runs that differ by case", "study"), ("a missing key", "semantic"), ("no such file", "format"), ("a file of no spectra", "semantic"),
 ]
 
 
@@ -351,7 +364,7 @@ def file_errors(spark, sf_dir):
         lambda: h.with_column("x", [1, 2]), lambda: rn.run_of(m, [0]), lambda: Dataset.open(spark, files.folder(spark, "none")), lambda: api.create(spark, data.path, h.frame), lambda: mf.write(path, old), both,
         lambda: api.create_from_archives(spark, os.path.join(files.folder(spark, "bad"), "ds"), [path]), lambda: api.set_run_data(data, _rows(spark, [("none", 1)], "run_id string, x int")), lambda: api.set_run_data(data, _rows(spark, [("1-URGENT", 1)], "run_id string, rtime int")),
         lambda: h.filter_sample_data("x > 1"), lambda: Dataset(spark, data.path, "both"), lambda: api.build_projection(data), lambda: h.filter_contains_mz(100.0), lambda: mf.add_run(m, "1-urgent", "native", "x", 1, {}),
-        lambda: api.create(spark, files.folder(spark, "key"), files.variables(spark, sf_dir), partitioning=["nothing"]),
+        lambda: api.create(spark, files.folder(spark, "key"), files.variables(spark, sf_dir), partitioning=["nothing"]), lambda: api.from_mzml(spark, ["/none.mzML"], path), lambda: api.from_mzml(spark, [os.path.join(data.path, mf.FILE)], path),
     ]
     found = []
     for (case, _), act in zip(ERRORS, todo, strict=True):
@@ -433,6 +446,21 @@ def archive_projection_books(spark, sf_dir):
     return _rows(spark, rows, "run_id string, source string, generation long, written boolean")
 
 
+@_files("SELECT run_id, count(*) AS n, 0::BIGINT AS falls FROM points JOIN stored USING (spectrum_id_) GROUP BY run_id UNION ALL SELECT 'index ' || run_id, count(*), 0 FROM stored GROUP BY run_id")
+def archive_sorted_copies(spark, sf_dir):
+    """Points of the sorted copies, and index rows, and how often one is below the one before it in its file."""
+    data = files.archived(spark, sf_dir, "profile", own=True)
+    api.build_projection(data)
+
+    def falls(folder: str, by: str, name) -> DataFrame:
+        rows = spark.read.parquet(folder).select(F.col("run_id").cast("string").alias("run_id"), F.col(by).alias("v"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+        rows = rows.withColumn("down", F.coalesce(F.col("v") < F.lag("v").over(Window.partitionBy("f").orderBy("i")), F.lit(False)))
+        return rows.groupBy(name.alias("run_id")).agg(F.count("*").alias("n"), F.count_if("down").alias("falls"))
+
+    points = falls(os.path.join(data.path, "index", "projections", "mzsorted"), "mz", F.col("run_id"))
+    return points.unionByName(falls(os.path.join(data.path, "index", "spectra"), "spectrum_id_", F.concat(F.lit("index "), "run_id")))
+
+
 @_files("SELECT spectrum_id_, rtime, \"msLevel\" FROM scanned WHERE run_id = '2-HIGH'")
 def archive_zip(spark, sf_dir):
     """ZIP archives; spectra are found by the origin that the handle shows."""
@@ -510,11 +538,12 @@ METHODS = "['beam-type collision-induced dissociation', 'electron transfer disso
 
 
 @_files(f"""SELECT spectrum_id_, run_id AS run_id, spectrum_index, "msLevel", rtime / 60::DOUBLE * 60::DOUBLE AS rtime, polarity, "precursorMz", CASE WHEN "msLevel" > 1 THEN (greatest(spectrum_index, 1))::INTEGER END AS "precScanNum",
-  CASE WHEN "msLevel" > 1 THEN ({METHODS})[(spectrum_index % 3) + 1] END AS "activationType", (SELECT count(*) FROM points p WHERE p.spectrum_id_ = s.spectrum_id_)::INTEGER AS "peaksCount"
+  CASE WHEN "msLevel" > 1 THEN ({METHODS})[(spectrum_index % 3) + 1] END AS "activationType", (SELECT count(*) FROM points p WHERE p.spectrum_id_ = s.spectrum_id_)::INTEGER AS "peaksCount",
+  spectrum_index || ' < "a" & b' AS "filterString"
 FROM (SELECT * REPLACE (replace(run_id, ' ', '~') AS run_id) FROM spectra) s""".replace("run_id AS run_id,", "replace(run_id, '~', '_') AS run_id,"))
 def mzml_scan(spark, sf_dir):
     """mzML files, plain and packed, converted into a dataset: a run a file, scan numbers and dissociation methods."""
-    return _converted(spark, sf_dir).spectra().spectra_data("spectrum_id_", "run_id", "spectrum_index", "msLevel", "rtime", "polarity", "precursorMz", "precScanNum", "activationType", "peaksCount")
+    return _converted(spark, sf_dir).spectra().spectra_data("spectrum_id_", "run_id", "spectrum_index", "msLevel", "rtime", "polarity", "precursorMz", "precScanNum", "activationType", "peaksCount", "filterString")
 
 
 @_files("SELECT spectrum_id_, peak_, mz, intensity FROM peaks")
