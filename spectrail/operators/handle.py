@@ -363,7 +363,7 @@ class Handle:
         return {v: self._with(self.frame.where(F.col(name).eqNullSafe(F.lit(v)))) for v in values}
 
     def unique_ms_levels(self) -> list[int]:
-        return [r[0] for r in self.frame.select("msLevel").where("msLevel IS NOT NULL").distinct().orderBy("msLevel").collect()]
+        return list(self.frame.agg(F.array_sort(F.collect_set("msLevel"))).first()[0])  # levels are few
 
     def _one(self, name: str, kind: str) -> DataFrame:
         c = F.col(name) if name in self.names else F.lit(None)

@@ -78,6 +78,7 @@ class Dataset:
         self.spark, self.path, self.representation = spark, path, representation
         self._raw, self._points, self._samples = raw, points, samples
         self._read: tuple = (None, None)
+        self._viewed: tuple = (None, None)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, representation: str = "auto") -> Dataset:
@@ -123,7 +124,10 @@ class Dataset:
         return read_runs(self.spark, os.path.join(self.path, "index", "spectra"))
 
     def view(self) -> DataFrame:
-        return translate(self.raw(), self.path)
+        raw = self.raw()
+        if self._viewed[0] is not raw:
+            self._viewed = raw, translate(raw, self.path)
+        return self._viewed[1]
 
     def points(self, run_ids: Sequence[str] | None = None) -> DataFrame:
         """spectrum_id_, mz, intensity of an archive dataset's points: one frame over all runs, read in parallel."""
