@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 SHARDS = 8
 ROUNDS = 6
@@ -22,6 +22,8 @@ SALT = 64
 ADMIT = 1024
 #: A group is large beyond this part of what a shard holds.
 LARGE = 4
+#: The new columns, and what they are called inside.
+MADE = {"size": "_size", "text_crc32": "_crc", "shard": "shard", "slot": "slot"}
 #: Documents that are put into order together when slots are given.
 CELL = 5000
 
@@ -77,14 +79,22 @@ def propagate(atoms: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
 def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, with_text: bool = False) -> DataFrame:
     """Every row of `docs` (its columns, and size, text_crc32) with shard and slot.
 
-    The text is left behind unless asked for; with it, texts are shuffled twice, without it no text is.
+    The text is left behind unless asked for; with it, texts are written once, numbered, and shuffled once, to be joined with
+    their places; without it no text is.
 
     The shards' counts are at most one apart, slots are gapless from 0 in each, and reruns agree but for the places of
     equal rows among each other. Null texts have size 1 and the checksum of the empty text, and are linked with it. Columns of
     docs named like the new ones are replaced, whatever their case; all others pass. Repeated rows each get a slot. An empty table gives an empty result.
     """
+    if with_text:
+        (number,) = fresh(docs.columns, "row_number")
+        whole = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "shard-docs")
+        placed = shard(whole.select("doc_id", "text", number), shards=shards, rounds=rounds).drop("doc_id")
+        # A merge at every size: the plan, and what it shuffles, do not change where one side would fit a broadcast.
+        rest = whole.drop(*[c for c in docs.columns if c.lower() in MADE])
+        return rest.join(placed.hint("merge"), number).drop(number)
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [c for c in docs.columns if with_text or c != "text"]
+    own = [c for c in docs.columns if c != "text"]
     # The documents' columns travel as one, so that none clashes with those made here.
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text).cast("long").alias("_crc"), F.xxhash64(text).alias("_hub"))
     rows = rows.withColumn("_h", F.xxhash64("_hub", F.col("_row.doc_id").cast("string")))
@@ -129,8 +139,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, with_t
     ranked = ranked.withColumn("shard", F.when(F.col("_surplus").isNull(), F.col("_shard")).otherwise(to).cast("int"))
     kept = _literal([held.get(s, 0) for s in range(shards)], F.col("shard")) - _literal(under_base, F.col("shard"))
     ranked = ranked.withColumn("slot", F.when(F.col("_surplus").isNull(), F.col("_rank")).otherwise(F.col("_surplus") + kept).cast("long"))
-    made = {"size": "_size", "text_crc32": "_crc", "shard": "shard", "slot": "slot"}
-    return ranked.select(*[F.col("_row").getField(c).alias(c) for c in own if c.lower() not in made], *[F.col(c).alias(name) for name, c in made.items()])
+    return ranked.select(*[F.col("_row").getField(c).alias(c) for c in own if c.lower() not in MADE], *[F.col(c).alias(name) for name, c in MADE.items()])
 
 
 def write(docs: DataFrame, folder: str, **how) -> None:
